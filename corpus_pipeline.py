@@ -25,7 +25,7 @@ MIX_BUDGET = 0.8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject (score of one half or more)."""
     name = free_name(docs, "quality_score")
-    model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = fit(docs, table(spark, sf_dir, "labels"))
     # the texts go to Python and back, instead of being dealt anew to meet their scores
     kept = score(docs, model, keep=docs.columns, name=name).filter(F.col(name) >= 0.5)
     return kept.select(*docs.columns)
