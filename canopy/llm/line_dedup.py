@@ -45,6 +45,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     order = ["h1", "h2", F.desc("doc_id"), "pos"]
     found = stage(occurrences(docs, min_chars).repartitionByRange(*order).sortWithinPartitions(*order), "line-runs")
     common = found.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    common = stage(common, "common-lines")  # a table on both sides lets a join split a hot hash
     gone = found.drop("first").join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     at = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
