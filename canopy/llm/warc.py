@@ -10,6 +10,7 @@ a running SHA-1 goes from chunk to chunk, and a record's last chunk carries the
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import sys
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import table, work_path
+from canopy.llm.common import stage, table, work_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -46,12 +47,13 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(F.encode(payload, "UTF-8")).alias("payload_digest"))
     leaders = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("leader"))
+    leaders = stage(leaders, "leaders")  # a table on both sides lets a join split a hot digest
     joined = rows.join(leaders, ["payload_digest", "payload_bytes"])
     return joined.withColumn("refers_to", F.when((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader"))).drop("leader")
 
 
 def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", segment_chars: int = SEGMENT_CHARS) -> None:
-    """One archive for each partition of records (see plan_records), replacing what was at path."""
+    """One gzip archive for each partition of records (see plan_records), replacing what was at path."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     rid = F.concat(F.lit(f"<{ID_PREFIX}"), page, F.lit(">"))
     # control characters and spaces would break a header line
@@ -80,7 +82,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
     )
-    rows.select(F.concat(head, block).alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).text(path)
+    rows.select(F.concat(head, block).alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 class Stream:
@@ -93,7 +95,9 @@ class Stream:
             import pyarrow.fs
 
             fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-            self.file = fs.open_input_stream(path)
+            self.file = fs.open_input_stream(path, compression=None)
+        if uri.endswith(".gz"):
+            self.file = gzip.GzipFile(fileobj=self.file)
         self.kept, self.at = b"", 0
 
     def more(self) -> bool:
