@@ -185,7 +185,7 @@ def format_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", S.format_path(F.col("url"), 30, "start").alias("at_start"), S.format_path(F.col("url"), 30, "end").alias("at_end"))
 
 
-@query(f"""WITH x AS (SELECT o_orderkey, o_orderdate AS t, epoch(TIMESTAMP '{AS_OF}') - epoch(o_orderdate) AS s FROM orders)
+@query(f"""WITH x AS (SELECT o_orderkey, o_orderdate AS t, CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(o_orderdate) AS BIGINT) AS s FROM orders)
 SELECT o_orderkey, strftime(t, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(s // 60 AS BIGINT) || CASE WHEN s // 60 = 1 THEN ' minute ago' ELSE ' minutes ago' END
  WHEN s < 86400 THEN CAST(s // 3600 AS BIGINT) || CASE WHEN s // 3600 = 1 THEN ' hour ago' ELSE ' hours ago' END WHEN s < 604800 THEN CAST(s // 86400 AS BIGINT) || CASE WHEN s // 86400 = 1 THEN ' day ago' ELSE ' days ago' END
  ELSE strftime(t, '%b %-d, %Y, %I:%M %p') END AS relative FROM x""")
