@@ -213,7 +213,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
             yield b.iloc[pruned(a, c, every, every, least)[0]][["a", "b"]]
 
     near = sized.mapInPandas(prune, "a long, b long")
-    stars = large.join(large.groupBy("bucket").agg(F.min("cid").alias("b")), "bucket").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    leaders = stage(large.groupBy("bucket").agg(F.min("cid").alias("b")), "leaders")  # a table on both sides lets a join split a hot bucket
+    stars = large.join(leaders, "bucket").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
     clusters = components(near.union(stars))
 
     members = clusters.join(classes.select(F.col("cid").alias("node"), "size", "n", "sig", "one"), "node")
