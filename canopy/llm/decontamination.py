@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 GRAM = 5
 SLICE_ITEMS = 20_000
-FINE, COARSE = 8, 32
+FINE, COARSE = 4, 64
 LONGEST = 512
 SEGMENT = 200_000
 
@@ -61,7 +63,7 @@ class Index:
     ids: list[int]
     terms: dict[str, int]
     #: For each term: items ascending, their weights, and the largest weight in each fine block that has one.
-    postings: list[tuple[np.ndarray, np.ndarray, dict[int, float]]]
+    postings: list[tuple[list[int], list[float], dict[int, float]]]
     coarse: np.ndarray  # term (the last: any other word) by coarse block: largest weight
     per_coarse: int
     parts: list[tuple[set, set]] = field(default_factory=list)
@@ -98,7 +100,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         for k, x in posting:
             coarse[t, k // per] = max(coarse[t, k // per], x)
             blocks[k // FINE] = max(blocks.get(k // FINE, 0.0), x)
-        postings.append((np.array([k for k, _ in posting]), np.array([x for _, x in posting]), blocks))
+        postings.append(([k for k, _ in posting], [x for _, x in posting], blocks))
     qa = [question_and_answer(t) for _, t in items]
     return Index([i for i, _ in items], terms, postings, coarse, per, [(grams(q), grams(a)) for q, a in qa], min(LONGEST, max(sizes, default=1)))
 
@@ -108,17 +110,17 @@ def wand(index: Index, terms: list[int], first: int, last: int, threshold: float
     cursors = []  # [item, place in posting, items, weights, blocks, largest]
     for t in terms:
         items, weights, blocks = index.postings[t]
-        at = int(np.searchsorted(items, first))
+        at = bisect_left(items, first)
         if at < len(items) and items[at] < last:
-            cursors.append([int(items[at]), at, items, weights, blocks, float(index.coarse[t, first // index.per_coarse])])
+            cursors.append([items[at], at, items, weights, blocks, float(index.coarse[t, first // index.per_coarse])])
     found = []
 
     def to(c: list, item: int) -> None:
-        c[1] += int(np.searchsorted(c[2][c[1] :], item))
-        c[0] = int(c[2][c[1]]) if c[1] < len(c[2]) else last
+        c[1] = bisect_left(c[2], item, c[1])
+        c[0] = c[2][c[1]] if c[1] < len(c[2]) else last
 
     while cursors:
-        cursors.sort(key=lambda c: c[0])
+        cursors.sort(key=itemgetter(0))
         bound, pivot = 0.0, -1
         for k, c in enumerate(cursors):
             if c[0] >= last:
@@ -138,7 +140,7 @@ def wand(index: Index, terms: list[int], first: int, last: int, threshold: float
             for c in upto:
                 to(c, max(after, item + 1))
         elif cursors[0][0] == item:
-            score = sum(float(c[3][c[1]]) for c in upto)
+            score = sum(c[3][c[1]] for c in upto)
             if score >= threshold - 1e-9:
                 found.append((item, score))
             for c in upto:
@@ -177,8 +179,10 @@ def search(index: Index, text: str | None, threshold: float, overlap: float) ->
             lo, hi = int(p) * step, (int(p) + 2) * step
             terms = np.unique(ids[lo:hi])
             terms = terms[terms != other]
-            if index.coarse[terms, block].sum() < threshold - 1e-4:
+            here = index.coarse[terms, block]
+            if here.sum() < threshold - 1e-4:
                 continue
+            terms = terms[here > 0]
             passage = None
             for item, score in wand(index, terms.tolist(), int(block) * index.per_coarse, min((int(block) + 1) * index.per_coarse, len(index.ids)), threshold):
                 passage = passage or grams(part[lo:hi])
