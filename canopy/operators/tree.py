@@ -12,8 +12,10 @@ from canopy.functions.scalars import complexity, complexity_color
 def directories(files: DataFrame) -> DataFrame:
     """path, loc, n_files, last_modified of every folder above files(path, loc[, last_modified]); the root is ''. One shuffle, combined before it, no recursion."""
     changed = F.col("last_modified") if "last_modified" in files.columns else F.lit(None).cast("timestamp")
-    up = files.select("loc", changed.alias("last_modified"), F.explode(F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("path")), lambda x: x.isNotNull()))).alias("path"))
-    return up.groupBy("path").agg(F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.count(F.lit(1)).alias("n_files"), F.max("last_modified").alias("last_modified"))
+    up = files.select("loc", changed.alias("last_modified"), F.lit(1).alias("one"), F.explode(F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("path")), lambda x: x.isNotNull()))).alias("path"))
+    # the root is there without files too
+    up = up.union(files.sparkSession.range(1).select(F.lit(0).cast("long"), F.lit(None).cast("timestamp"), F.lit(0), F.lit("")))
+    return up.groupBy("path").agg(F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.sum("one").alias("n_files"), F.max("last_modified").alias("last_modified"))
 
 
 def depth(path: Column) -> Column:
