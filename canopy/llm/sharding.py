@@ -4,6 +4,7 @@ Rows are dealt by a hash into blocks. For every block the matrix says how many o
 piece of a shard); drawn row by row from the multivariate hypergeometric law over what the cells still lack, it has the
 distribution that a uniform permutation of all rows would have, and its columns sum to the exact cell sizes. Rows are
 permuted in their block by a random key, cut by the block's row of the matrix, exchanged by cell, and permuted again there.
+All that moves only fingerprints of the rows; the rows themselves travel once, to meet their shard and slot.
 
 The driver holds block counts and the matrix only, at most `max_matrix` numbers whatever the input's size; the matrix is
 what is broadcast. No row is counted twice and nothing is gathered by shard: the largest group is a block or a cell.
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm.common import free_name, table
+from canopy.llm.common import free_name, stage, table
 
 FINE = 16384
+#: Equal rows are numbered in runs of so many.
+COPIES = 1 << 16
 CHUNK = 64
 
 
@@ -61,18 +64,24 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_block: i
     """docs with `shard` (0 to n_shards - 1; counts at most one apart) and `slot` (gapless from 0 in each shard), shuffled uniformly.
 
     Columns of docs named shard or slot are replaced. Null ids and texts are values like others; rows that are equal in
-    all columns are interchangeable, each gets its own slot; no rows give no rows. A row's block follows from all its
-    columns but `text`, its place from all of them, so a lost task recomputes to the same.
+    all columns are interchangeable, each gets its own shard and slot; no rows give no rows. Everything follows from the
+    rows' values, so a lost task recomputes to the same. Rows are told apart by 128 bits of hash over all columns.
     """
     docs = docs.drop("shard", "slot")
     spark = docs.sparkSession
-    fine, rank, cell, key = (free_name(docs, f"_{x}") for x in ("fine", "rank", "cell", "key"))
-    narrow = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"] or [F.col(f"`{c}`") for c in docs.columns]
-    every = [F.col(f"`{c}`") for c in docs.columns]
-    dealt = docs.withColumn(fine, F.pmod(F.xxhash64(F.lit(seed), *narrow), F.lit(FINE)).cast("int"))
-    counts = [0] * FINE
-    for r in dealt.groupBy(fine).count().collect():  # FINE rows at most
-        counts[r[0]] = r[1]
+    high, low, h, l, one = (free_name(docs, f"_{x}") for x in ("high", "low", "h", "l", "one"))
+    # hashes skip nulls, so which columns are null is hashed as well
+    every = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    marked = docs.withColumns({high: F.xxhash64(F.lit(seed), *every), low: F.xxhash64(F.lit(seed + 1), *every)})
+    fine, copy, rank, cell, key = "_fine", "_copy", "_rank", "_cell", "_key"
+    # equal rows are counted before the shuffle, then dealt one by one
+    distinct = marked.groupBy(F.col(high).alias("_high"), F.col(low).alias("_low")).agg(F.count("*").alias("_n"))
+    dealt = stage(distinct, "rows").withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), "_n", F.lit(COPIES).cast("long"))))
+    dealt = dealt.select("_high", "_low", (F.col("_n") > 1).alias("_many"), F.explode(F.sequence("_from", F.least("_n", F.col("_from") + COPIES - 1))).alias(copy))
+    dealt = dealt.withColumn(fine, F.pmod(F.xxhash64(F.lit(seed + 2), "_high", "_low", copy), F.lit(FINE)).cast("int"))
+    counts, many = [0] * FINE, False
+    for r in dealt.groupBy(fine).agg(F.count("*"), F.max("_many")).collect():  # FINE rows at most
+        counts[r[0]], many = r[1], many or r[2]
     total = sum(counts)
     if not total:
         return docs.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
@@ -89,18 +98,28 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_block: i
         [(b, [x[k : k + CHUNK] for k in range(0, n_cells, CHUNK)]) for b, x in enumerate(starts.tolist())],
         T.StructType([T.StructField("_block", T.IntegerType()), T.StructField("_cuts", T.ArrayType(T.ArrayType(T.LongType())))]),
     ).withColumn("_firsts", F.transform("_cuts", lambda x: x[0]))
-    block = F.floor(F.col(fine) / per).cast("int")
-    local = dealt.withColumn(fine, block).withColumn(key, F.xxhash64(F.lit(seed + 1), *every))
-    local = local.withColumn(rank, F.row_number().over(Window.partitionBy(fine).orderBy(key, *every)).cast("long") - 1)
+    block, order = F.floor(F.col(fine) / per).cast("int"), [key, "_high", "_low", copy]
+    local = dealt.withColumn(fine, block).withColumn(key, F.xxhash64(F.lit(seed + 3), "_low", "_high", copy))
+    local = local.withColumn(rank, F.row_number().over(Window.partitionBy(fine).orderBy(*order)).cast("long") - 1)
     # the last cell that starts at or before the rank; empty cells share their start with the next one
     chunk = F.size(F.filter("_firsts", lambda c: c <= F.col(rank))) - 1
     sent = local.join(F.broadcast(cuts), F.col(fine) == F.col("_block")).withColumn(cell, chunk)
     sent = sent.withColumn(cell, F.col(cell) * CHUNK + F.size(F.filter(F.col("_cuts")[F.col(cell)], lambda c: c <= F.col(rank))) - 1).drop("_block", "_cuts", "_firsts")
-    again = F.row_number().over(Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed + 2), F.col(key)), key, *every)).cast("long") - 1
+    again = F.row_number().over(Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed + 4), F.col(key)), *order)).cast("long") - 1
     s, q = F.floor(F.col(cell) / parts).cast("int"), F.col(cell) % parts
     held = F.lit(total // n_shards) + (s < F.lit(total % n_shards)).cast("long")
     before = q * F.floor(held / parts) + F.least(q, held % parts)
-    return sent.withColumn(rank, again).withColumns({"shard": s, "slot": (before + F.col(rank)).cast("long")}).drop(fine, rank, cell, key)
+    placed = sent.withColumn(rank, again).select(F.col("_high").alias(h), F.col("_low").alias(l), (~F.col("_many")).alias(one), s.alias("shard"), (before + F.col(rank)).cast("long").alias("slot"))
+
+    def met(rows: DataFrame, places: DataFrame) -> DataFrame:
+        return rows.join(places, (rows[high] == places[h]) & (rows[low] == places[l])).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
+
+    out = met(marked, placed.filter(one).hint("shuffle_hash"))
+    if many:  # one of each kind of equal rows meets the places of all its copies; a hot kind is split by adaptive execution
+        again_seen = dealt.filter("_many").select(F.col("_high").alias(high), F.col("_low").alias(low)).distinct()
+        kinds = stage(marked.join(again_seen, [high, low], "left_semi").dropDuplicates([high, low]), "kinds")
+        out = out.unionByName(met(kinds, placed.filter(~F.col(one))))
+    return out
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

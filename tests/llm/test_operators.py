@@ -50,6 +50,11 @@ def test_shard(docs, none, rows):
     assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in per.items())
     assert {(r["doc_id"], r["text"], r["_id"]) for r in out} == {(r[0], r[1], r[5]) for r in rows}
     assert sharding.shard(none).count() == 0
+    names = [c for c in docs.columns if c != "shard"]
+    assert Counter(map(str, (tuple(r[c] for c in names) for r in out))) == Counter(str(x[:-1]) for x in rows)
+    odd = docs.sparkSession.createDataFrame([("x", None, 1), (None, "x", 1), ("x", None, 1)] + [("hot", "hot", 2)] * 70_000, "_h string, _l string, _high int")
+    got = sharding.shard(odd, n_shards=3).groupBy("_h", "_l", "_high").count().collect()
+    assert {tuple(r) for r in got} == {("x", None, 1, 2), (None, "x", 1, 1), ("hot", "hot", 2, 70_000)}
     m = sharding.communication_matrix([30, 50, 20], [25, 25, 50], 1)
     assert m.sum(0).tolist() == [25, 25, 50] and m.sum(1).tolist() == [30, 50, 20]
     import numpy as np
