@@ -48,3 +48,25 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Bits of a key filter, at most: what it broadcasts is never more than 32 MB. One row of it holds 32768 bits.
+FILTER_BITS, ROW_BITS = 1 << 28, 1 << 15
+
+
+def held(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose key (a hash, not null) may be in keys' only column, and those whose key is not there for certain.
+
+    A bitmap with 16 bits a key, bounded by FILTER_BITS, is broadcast, so that rows without a partner need not be shuffled
+    to learn that. Beyond the bound the first part grows and stays right. No keys leave all rows in the second part.
+    """
+    bits = max(ROW_BITS, min(FILTER_BITS, 1 << (16 * keys.count()).bit_length()))
+    at, part, word, byte = (free_name(rows, f"_{x}") for x in ("at", "part", "word", "byte"))
+    place = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias(at)).withColumn(part, F.floor(F.col(at) / ROW_BITS))
+    bitmap = place.groupBy(part).agg(F.bitmap_construct_agg(F.col(at) % ROW_BITS).alias(word))
+    both = rows.withColumn(at, F.pmod(key, F.lit(bits))).withColumn(part, F.floor(F.col(at) / ROW_BITS)).join(F.broadcast(bitmap), part, "left")
+    here = F.substring(F.col(word), (F.floor(F.col(at) % ROW_BITS / 8) + 1).cast("int"), F.lit(1))
+    both = both.withColumn(byte, F.coalesce(F.conv(F.hex(here), 16, 10).cast("int"), F.lit(0)))
+    may = F.expr(f"shiftright(`{byte}`, cast(`{at}` % 8 as int)) & 1") == 1
+    out = [F.col(f"`{c}`") for c in rows.columns]
+    return both.filter(may).select(*out), both.filter(~may).select(*out)

@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import stage, table
+from canopy.llm.common import held, stage, table
 from canopy.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
@@ -223,6 +223,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     members = members.join(extent, "label").select(F.col("node").alias("cid"), "label", "size", "n", "sig", F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = stage(members, "members")
     bundles = max(1, -(-members.count() // block))
+    rows, _ = held(rows, F.col("text_key"), members.select("_key"))  # most texts are in no cluster and stay where they are
     texts = members.join(rows, (members["_key"] == rows["text_key"]) & members["_id"].eqNullSafe(rows["doc_id"])).select("cid", "label", "size", "n", "sig", "text", "blocks", "block")
     # clusters of one block go in bundles, each block of a larger one meets every other
     meet = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

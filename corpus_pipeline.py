@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import free_name, stage, table
+from canopy.llm.common import free_name, held, stage, table
 from canopy.llm.decontamination import find_leaks
 from canopy.llm.jaccard_join import link
 from canopy.llm.mixing import describe, mix
@@ -34,7 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (linked, however far) the document with the least id; all others."""
     gone = stage(link(docs).filter(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_key").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"]), "left_anti")
+    may, stays = held(docs, F.xxhash64("text"), gone.select("text_key"))
+    rest = may.join(gone, may["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(may["text"]) == gone["text_key"]), "left_anti")
+    return stays.unionByName(rest)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

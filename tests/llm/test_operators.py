@@ -13,6 +13,7 @@ from canopy.llm import decontamination as D
 from canopy.llm import html_extraction as H
 from canopy.llm import jaccard_join as J
 from canopy.llm import line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, warc
+from canopy.llm.common import held
 from canopy.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, label int, shard int"
@@ -259,3 +260,14 @@ def test_mixing_marginals_and_large_tables(spark):
         goal = mixing.smoothed(seen, 0.5)
         assert small and all(abs(fitted[v] / sum(c.values()) - goal[v]) < 1e-6 for v in goal)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_held_keeps_every_partner(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.col("id").alias("_at"), F.lit("w").alias("_word"))
+    keys = rows.filter("_at % 10 = 3").select("k")
+    may, no = held(rows, F.col("k"), keys)
+    assert may.columns == rows.columns == no.columns
+    a, b = ({r[1] for r in x.collect()} for x in (may, no))
+    assert not a & b and a | b == set(range(20_000)) and {i for i in a | b if i % 10 == 3} <= a and len(a) < 4000
+    may, no = held(rows, F.col("k"), keys.limit(0))
+    assert may.count() == 0 and no.count() == 20_000
