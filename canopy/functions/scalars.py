@@ -87,6 +87,17 @@ def confidence_color(x: Column) -> Column:
     return F.when(missing(x), UNKNOWN_COLOR).when(x > 80, "#22c55e").when(x >= 60, "#eab308").otherwise("#ef4444")
 
 
+def overlay_border(ratio: Column, on: bool = True) -> tuple[Column, Column]:
+    """Colour and width of a chart node's border: thick and by its ratio of dead code, if it has any and the overlay is on."""
+    marked = F.lit(on) & ~missing(ratio) & (ratio != 0)
+    return F.when(marked, dead_border_color(ratio)).otherwise("#ffffff"), F.when(marked, 3).otherwise(2)
+
+
+def chart_label(name: Column, kind: Column, value: Column) -> Column:
+    """The name, but nothing for files of 500 lines or fewer."""
+    return F.when((kind == "directory") | (value > 500), name).otherwise("")
+
+
 KIND_SHORT = {"Function": "fn", "ArrowFunction": "=>", "Class": "class", "Method": "method", "Variable": "var"}
 KIND_LONG = {"Function": "Function", "ArrowFunction": "Arrow Function", "Class": "Class", "Method": "Method", "Variable": "Variable"}
 

@@ -79,6 +79,17 @@ def flattened(tree: DataFrame) -> DataFrame:
     return tree.orderBy(F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(dfs_key(F.col("path"), F.col("type"))))
 
 
+def visible(tree: DataFrame) -> DataFrame:
+    """Nodes that the keyboard reaches: files, and folders that hold something; `flattened` puts them in order."""
+    parents = tree.filter("parent_id is not null").select(F.col("parent_id").alias("_held")).distinct()
+    return tree.join(parents, (tree["type"] == "directory") & (tree["path"] == parents["_held"]), "left_semi").unionByName(tree.filter(F.col("type") == "file"))
+
+
+def lazy_chart(tree: DataFrame, above: int = 50_000) -> DataFrame:
+    """One row: n_files, lazy (whether the chart is drawn bit by bit)."""
+    return tree.agg(F.count_if(F.col("type") == "file").alias("n_files")).withColumn("lazy", F.col("n_files") > above)
+
+
 def chart_nodes(tree: DataFrame) -> DataFrame:
     """name, path, type, value, color (files only)."""
     return tree.select("name", "path", "type", F.coalesce("loc", F.lit(0)).alias("value"), F.when(F.col("type") == "file", complexity_color(F.col("complexity"))).alias("color"))
@@ -99,4 +110,4 @@ def breadcrumb(segments: list[str], to: int | None = None) -> list[str]:
     return segments[:-1] if to is None else segments[: to + 1]
 
 
-__all__ = ["breadcrumb", "chart_nodes", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "limited", "nodes", "subtree"]
+__all__ = ["breadcrumb", "chart_nodes", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "lazy_chart", "limited", "nodes", "subtree", "visible"]

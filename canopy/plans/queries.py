@@ -161,6 +161,20 @@ def chart_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.chart_nodes(document_tree(spark, sf_dir))
 
 
+@query(f"""WITH {TREE} SELECT path, CASE WHEN type = 'directory' OR loc > 500 THEN name ELSE '' END AS label, CASE WHEN complexity = 0 THEN '#ffffff' WHEN complexity > 50 THEN '#ef4444' WHEN complexity > 20 THEN '#f97316' ELSE '#eab308' END AS border, CASE WHEN complexity = 0 THEN 2 ELSE 3 END AS border_width
+FROM nodes n WHERE type = 'file' OR EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = n.path)""")
+def chart_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio is a hundredth of the complexity"""
+    color, width = S.overlay_border(F.col("complexity") / 100)
+    return tree.visible(document_tree(spark, sf_dir)).select("path", S.chart_label(F.col("name"), F.col("type"), F.col("loc")).alias("label"), color.alias("border"), width.alias("border_width"))
+
+
+@query(f"WITH {TREE} SELECT count(*) FILTER (type = 'file') AS n_files, count(*) FILTER (type = 'file') > 50000 AS lazy FROM nodes")
+def lazy_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16"""
+    return tree.lazy_chart(document_tree(spark, sf_dir))
+
+
 @query(f"""WITH x AS (SELECT p_partkey, p_size * 2.0::DOUBLE AS c, p_size / 50.0 AS r FROM part)
 SELECT p_partkey, {COLOR} AS color, CASE WHEN c < 30 THEN 'Low' WHEN c < 60 THEN 'Medium' WHEN c < 80 THEN 'High' ELSE 'Very High' END AS label,
  CASE WHEN r > 0.5 THEN '#ef4444' WHEN r > 0.2 THEN '#f97316' ELSE '#eab308' END AS border, CASE WHEN c > 80 THEN '#22c55e' WHEN c >= 60 THEN '#eab308' ELSE '#ef4444' END AS confidence_color FROM x""")

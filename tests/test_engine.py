@@ -97,3 +97,15 @@ def test_debounce_against_a_walk(spark):
             n += 1
         want.append((k, n))
     assert got == sorted(want)
+
+
+def test_chart_marks(spark):
+    color, width = S.overlay_border(F.col("r"))
+    rows = spark.createDataFrame([(0.6,), (0.0,), (None,), (float("nan"),), (0.1,)], "r double").select(color, width).collect()
+    assert [tuple(r) for r in rows] == [("#ef4444", 3), ("#ffffff", 2), ("#ffffff", 2), ("#ffffff", 2), ("#eab308", 3)]
+    assert one(spark, S.overlay_border(F.lit(0.6), on=False)[1]) == 2
+    assert one(spark, S.chart_label(F.lit("a"), F.lit("file"), F.lit(500))) == "" and one(spark, S.chart_label(F.lit("a"), F.lit("directory"), F.lit(0))) == "a"
+    none = tree.nodes(spark.createDataFrame([], "path string, loc long"))
+    assert none.count() == 1 and tree.visible(none).count() == 0 and not tree.lazy_chart(none).first()["lazy"]
+    some = tree.nodes(spark.createDataFrame([("a/b.rs", 10)], "path string, loc long"))
+    assert {r["path"] for r in tree.visible(some).collect()} == {"", "a", "a/b.rs"}
