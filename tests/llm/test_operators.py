@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,40 @@ def test_held_keeps_every_partner(spark):
     assert not a & b and a | b == set(range(20_000)) and {i for i in a | b if i % 10 == 3} <= a and len(a) < 4000
     may, no = held(rows, F.col("k"), keys.limit(0))
     assert may.count() == 0 and no.count() == 20_000
+
+
+def test_pipeline_near_duplicates_against_brute_force(spark, docs, rows, none):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    ids = [r[0] for r in rows]
+    sets, root = [grams(r[1]) for r in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[top(i)] = top(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(top(i), set()).add(ids[i])
+    want = {min((x for x in g if x is not None), default=None) for g in groups.values()}
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == want
+    assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
+
+
+def test_pipeline_run(spark):
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    per = Counter(r["shard"] for r in out)
+    assert out and len({r["doc_id"] for r in out}) == len(out) and all(docs[r["doc_id"]] == r["text"] for r in out)
+    assert max(per.values()) - (min(per.values()) if len(per) == 40 else 0) <= 1
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in per.items())
