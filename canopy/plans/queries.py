@@ -15,6 +15,9 @@ from canopy.functions import scalars as S
 from canopy.functions.loc import count_lines, loc
 from canopy.functions.paths import excluded, extension, file_name, in_test_folder
 from canopy.operators import deadcode, diff, graph, metrics, tree, watch_state
+from canopy.operators.parse import imports, parse_files
+from canopy.operators.parse import symbols as parsed_symbols
+from canopy.sinks.reports import csv_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -415,6 +418,55 @@ def detector_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadcode.accuracy(read(spark, sf_dir, "documents").filter("n_chars < 800").select(F.col("doc_id").alias("key")), truth)
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each part: a function over p_size lines, a class with a method for some, an arrow for others, an import of the part before."""
+    p = read(spark, sf_dir, "part")
+    key, name = F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    exported = F.when(F.col("p_retailprice") < 950, "export ").otherwise("")
+    text = F.concat(
+        F.lit("import { x } from './p"), (F.col("p_partkey") - 1).cast("string"), F.lit("';\n/* function no() {} */\n"),
+        exported, F.lit("function "), name, F.lit("(a: () => void) {"), F.repeat(F.lit("\n"), F.col("p_size")), F.lit("}\n"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("class K { go() { return `${x}` } }\n")).otherwise(F.lit("const k = (y: number): string => '{';\n")),
+    )
+    return p.select(F.concat(F.lit("src/p"), key, F.lit(".ts")).alias("path"), text.alias("content"))
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS path, CAST(2 AS BIGINT) AS function_count FROM part")
+def function_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 P5 S14"""
+    return parse_files(sources(spark, sf_dir)).select("path", "function_count")
+
+
+@query("""SELECT 'src/p' || p_partkey || '.ts' AS path, replace(p_name, ' ', '_') AS name, 'Function' AS kind, CAST(3 AS BIGINT) AS line_start, CAST(3 + p_size AS BIGINT) AS line_end, p_retailprice < 950 AS is_exported FROM part
+UNION ALL SELECT 'src/p' || p_partkey || '.ts', 'k', 'ArrowFunction', 4 + p_size, 4 + p_size, false FROM part WHERE p_size % 2 = 1
+UNION ALL SELECT 'src/p' || p_partkey || '.ts', unnest(['K', 'go']), unnest(['Class', 'Method']), 4 + p_size, 4 + p_size, false FROM part WHERE p_size % 2 = 0""")
+def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15 P24"""
+    return parsed_symbols(parse_files(sources(spark, sf_dir))).select("path", "name", "kind", "line_start", "line_end", "is_exported")
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS path, CASE WHEN p_partkey - 1 IN (SELECT p_partkey FROM part) THEN 'src/p' || (p_partkey - 1) || '.ts' END AS resolved FROM part")
+def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of parsed sources"""
+    files = sources(spark, sf_dir)
+    return graph.resolve_imports(imports(parse_files(files)), files.select("path")).select("path", "resolved")
+
+
+@query("SELECT 'src/p' || p_partkey || '.ts' AS path, 'typescript' AS language, CAST(4 AS BIGINT) AS loc, CAST(2 AS BIGINT) AS functions FROM part")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the CSV report"""
+    rows = metrics.file_metrics(parse_files(sources(spark, sf_dir), keep=("content",)))
+    return csv_table(rows).select("path", "language", "loc", "functions")
+
+
+@query(f"WITH {TREE} SELECT path, type, loc, CASE WHEN type = 'directory' THEN loc * 2 END AS twice FROM nodes WHERE path = 'src3'")
+def selected_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selected node and what a report says of its path"""
+    t = document_tree(spark, sf_dir)
+    report = t.filter("type = 'directory'").select("path", (F.col("loc") * 2).alias("twice"))
+    return t.filter("path = 'src3'").join(report, "path", "left").select("path", "type", "loc", "twice")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dir_rollup(spark, sf_dir)
 
