@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from canopy.plans.work import cut
 # fixed values, in the order in which they are tried
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx")
 INDEXES = ("index.ts", "index.tsx", "index.js", "index.jsx")
+#: Edges that are walked in one task: two paths each, some 200 MB of Python objects at most.
+ONE_TASK_EDGES = 500_000
 
 
 class NoEntryPoints(Exception):
@@ -62,10 +67,39 @@ def entry_points(symbols: DataFrame) -> DataFrame:
     return symbols.filter((F.col("name") == "main") | is_test_file(at) | (F.col("is_exported") & is_entry_file(at))).select("id", "path").distinct()
 
 
-def reachable_files(starts: DataFrame, file_edges: DataFrame) -> DataFrame:
-    """Files from which edges count: starts, and all that edges lead to. A frontier a round, each cut by a checkpoint; rounds are bounded by the graph's diameter."""
-    edges = cut(file_edges.select("src_path", "dst_path").distinct())
-    frontier = cut(starts.select("path").distinct())
+def walk_in_one_task(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """path: all that edges lead to from starts, for edges that one task holds."""
+    inside = starts.join(edges.select(F.col("src_path").alias("path")).distinct(), "path", "left_semi")
+    rows = edges.unionByName(inside.select(F.lit(None).cast("string").alias("src_path"), F.col("path").alias("dst_path"))).repartition(1)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after, todo = {}, []
+        for b in batches:
+            for src, dst in zip(b["src_path"], b["dst_path"], strict=True):
+                if src is None:
+                    todo.append(dst)
+                else:
+                    after.setdefault(src, []).append(dst)
+        seen = set()
+        while todo:
+            new = [d for d in after.get(todo.pop(), ()) if d not in seen]
+            seen.update(new)
+            todo += new
+        yield pd.DataFrame({"path": sorted(seen)}, dtype=object)
+
+    return rows.mapInPandas(walk, "path string")
+
+
+def reachable_files(starts: DataFrame, file_edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Files from which edges count: starts, and all that edges lead to.
+
+    Up to one_task edges are walked in a task. Beyond, a frontier a round is joined, each cut by a written table; rounds are bounded by the graph's diameter.
+    """
+    edges = cut(file_edges.select("src_path", "dst_path").filter("src_path is not null and dst_path is not null").distinct())
+    begun = starts.select("path").distinct()
+    if edges.count() <= one_task:
+        return begun.union(walk_in_one_task(begun, edges)).distinct()
+    frontier = cut(begun)
     seen = frontier
     while True:
         step = edges.join(frontier, edges["src_path"] == frontier["path"]).select(F.col("dst_path").alias("path")).distinct()

@@ -74,6 +74,25 @@ def test_reach(spark):
         graph.reach(edges, entry.limit(0))
 
 
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_reach_on_random_graphs(spark, one_task):
+    r = random.Random(3)
+    pairs = [(f"n{r.randint(0, 60)}", f"n{r.randint(0, 60)}") for _ in range(70)] + [("n1", None), (None, "n2")]
+    want, todo = {"n0", "n5", "alone"}, ["n0", "n5"]
+    while todo:
+        at = todo.pop()
+        for a, b in pairs:
+            if a == at and b is not None and b not in want:
+                want.add(b)
+                todo.append(b)
+    starts = spark.createDataFrame([("n0",), ("n5",), ("n5",), ("alone",)], "path string")
+    edges = spark.createDataFrame(pairs, "src_path string, dst_path string")
+    got = [x[0] for x in graph.reachable_files(starts, edges, one_task).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert graph.reachable_files(starts, edges.limit(0), one_task).count() == 3
+    assert graph.reachable_files(starts.limit(0), edges, one_task).count() == 0
+
+
 def test_imports(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/lib/index.ts",), ("src/foo.ts",), ("x.js",)], "path string")
     cases = [("src/m.ts", 0, "'./a'", "src/a.ts"), ("src/m.ts", 1, "'./lib'", "src/lib/index.ts"), ("src/m.ts", 2, "'./foo.service'", "src/foo.ts"), ("src/m.ts", 3, "'react'", None), ("src/m.ts", 4, "'@/x'", "x.js"), ("src/n/m.ts", 5, "'../a'", None)]
