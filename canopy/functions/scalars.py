@@ -109,3 +109,16 @@ def kind_label(kind: Column, names: dict[str, str] = KIND_SHORT) -> Column:
 def iso_timestamp(ts: Column) -> Column:
     """UTC with milliseconds and Z (the session's time zone must be UTC)."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def format_percent(x: Column, decimals: int = 1, signed: bool = False) -> Column:
+    """A number with fixed decimals and %; with signed, a plus too. Null for null. The shortest decimal of the value is rounded, ties to even."""
+    exact = F.format_string(f"%{'+' if signed else ''}.{decimals}f%%", F.bround(x.cast("decimal(38,18)"), decimals).cast("double"))
+    return F.when(x.isNotNull(), exact)
+
+
+def tooltip(complexity_value: Column, ratio: Column, overlay: bool = True) -> tuple[Column, Column]:
+    """(complexity with one decimal and its label, share of dead code or null without the overlay or dead code)."""
+    shown = F.concat(F.format_string("%.1f", complexity_value.cast("double")), F.lit(" ("), complexity_label(complexity_value), F.lit(")"))
+    share = F.when(F.lit(overlay) & (ratio > 0), format_percent(ratio * 100))
+    return shown, share

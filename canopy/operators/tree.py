@@ -111,3 +111,14 @@ def breadcrumb(segments: list[str], to: int | None = None) -> list[str]:
 
 
 __all__ = ["breadcrumb", "chart_nodes", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "lazy_chart", "limited", "nodes", "subtree", "visible"]
+
+
+def ancestors_of(tree: DataFrame, path: str) -> DataFrame:
+    """The crumbs of a path: the nodes from the root down to it, in order."""
+    parts = [p for p in path.split("/") if p]
+    return tree.filter(F.col("path").isin("", *("/".join(parts[: i + 1]) for i in range(len(parts))))).orderBy("depth")
+
+
+def by_size(tree: DataFrame) -> DataFrame:
+    """Nodes as rings take them: siblings by lines, the largest first, ties by name."""
+    return tree.orderBy(F.col("parent_id").asc_nulls_first(), F.desc("loc"), "name")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import scalars as S
@@ -467,6 +467,36 @@ def selected_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter("path = 'src3'").join(report, "path", "left").select("path", "type", "loc", "twice")
 
 
+@query(f"""WITH {TREE}, k AS (SELECT path, type, depth, CASE WHEN path = '' THEN [] WHEN type = 'directory' THEN list_transform(string_split(path, '/'), lambda x: '1' || x) ELSE list_concat(list_transform(string_split(path, '/')[:-2], lambda x: '1' || x), ['0' || string_split(path, '/')[-1]]) END AS key FROM nodes)
+SELECT path, type, row_number() OVER (ORDER BY key) AS at FROM k WHERE path = 'src3' OR starts_with(path, 'src3/')""")
+def flattened_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subtree in page order; its rows are numbered, which takes one task, as a page does"""
+    t = tree.subtree(document_tree(spark, sf_dir), "src3")
+    return t.select("path", "type", F.row_number().over(Window.orderBy(tree.dfs_key(F.col("path"), F.col("type")))).cast("long").alias("at"))
+
+
+@query(f"WITH {TREE} SELECT path, name, CAST(depth AS BIGINT) AS depth FROM nodes WHERE path IN ('', 'src3', 'src3/de')")
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8"""
+    return tree.ancestors_of(document_tree(spark, sf_dir), "src3/de").select("path", "name", *LONG("depth"))
+
+
+@query(f"WITH {TREE} SELECT parent_id, path, row_number() OVER (PARTITION BY parent_id ORDER BY loc DESC, name) AS rank FROM nodes WHERE type = 'directory' AND parent_id IS NOT NULL")
+def ring_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each folder among its siblings"""
+    t = document_tree(spark, sf_dir).filter("type = 'directory' AND parent_id IS NOT NULL")
+    return t.select("parent_id", "path", F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc("loc"), "name")).cast("long").alias("rank"))
+
+
+@query("""SELECT p_partkey, printf('%.1f', p_size * 2.0::DOUBLE) || ' (' || CASE WHEN p_size < 15 THEN 'Low' WHEN p_size < 30 THEN 'Medium' WHEN p_size < 40 THEN 'High' ELSE 'Very High' END || ')' AS shown,
+ CASE WHEN p_size > 10 THEN printf('%.1f%%', p_size / 64.0::DOUBLE * 100) END AS share, printf('%+.1f%%', p_size - 25.0::DOUBLE) AS change, printf('%.4f', p_size / 64.0::DOUBLE) AS ratio FROM part""")
+def tooltips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13 F18"""
+    size = F.col("p_size").cast("double")
+    shown, share = S.tooltip(size * 2, F.when(size > 10, size / 64))
+    return read(spark, sf_dir, "part").select("p_partkey", shown.alias("shown"), share.alias("share"), S.format_percent(size - 25, signed=True).alias("change"), F.replace(S.format_percent(size / 64, 4), F.lit("%"), F.lit("")).alias("ratio"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dir_rollup(spark, sf_dir)
 

@@ -118,6 +118,20 @@ def test_debounce_against_a_walk(spark):
     assert got == sorted(want)
 
 
+def test_percentages_and_tooltips(spark):
+    assert [one(spark, S.format_percent(F.lit(x).cast("double"), signed=True)) for x in (10.25, -0.75, 0.0, None)] == ["+10.2%", "-0.8%", "+0.0%", None]
+    assert one(spark, S.format_percent(F.lit(12.345), 4)) == "12.3450%"
+    assert [one(spark, S.tooltip(F.lit(45.25), F.lit(r).cast("double"))[1]) for r in (0.125, 0.0, None)] == ["12.5%", None, None]
+    assert one(spark, S.tooltip(F.lit(60), F.lit(0.5))[0]) == "60.0 (High)" and one(spark, S.tooltip(F.lit(60), F.lit(0.5), overlay=False)[1]) is None
+
+
+def test_crumbs_and_rings(spark):
+    t = tree.nodes(spark.createDataFrame([("a/b/x.ts", 3), ("a/y.ts", 5), ("c/z.ts", 5)], "path string, loc long"))
+    assert [r["path"] for r in tree.ancestors_of(t, "/a/b/").collect()] == ["", "a", "a/b"]
+    assert [r["path"] for r in tree.ancestors_of(t, "").collect()] == [""]
+    assert [r["path"] for r in tree.by_size(t).collect()] == ["", "a", "c", "a/y.ts", "a/b", "a/b/x.ts", "c/z.ts"]
+
+
 def test_chart_marks(spark):
     color, width = S.overlay_border(F.col("r"))
     rows = spark.createDataFrame([(0.6,), (0.0,), (None,), (float("nan"),), (0.1,)], "r double").select(color, width).collect()
