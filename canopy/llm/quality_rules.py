@@ -1,9 +1,10 @@
 """Quality rules: counts within each document, and lines that too many documents of one host share.
 
 Base rules look at a document alone. The method's verdict comes from the corpus: lines are normalised and hashed, the
-distinct texts that hold a line are counted for each host, lines above the host's limit count as removed, and a document
-that keeps too few of its words is rejected. Exact copies of a text count once, so copies do not make each other
-boilerplate. Hashes and counts travel, never texts; a host that holds a third of all rows is split by line.
+distinct documents that hold a line are counted for each host, lines above the limit count as removed, and a document that
+keeps too few of its words is rejected. The limit is one number, whatever the host's size; exact copies of a text are
+documents like others, rows that repeat id and text are one. Hashes and counts travel, never texts; a host that holds a
+third of all rows is split by line.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from canopy.llm.common import stage, table, words
 
 WINDOW = 8
-#: A line is boilerplate in more distinct texts of its host than the larger of these: a number, a share of the host's texts.
-LIMIT_DOCS, LIMIT_SHARE = 20, 0.02
+#: A line is boilerplate in more distinct documents of its host than this.
+LIMIT_DOCS = 20
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
 LEAST_WORDS, LEAST_SHARE = 20, 0.3
 
@@ -56,23 +57,24 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return docs.select("host", "text_hash", F.inline(F.filter(per, lambda x: x["n"] > 0)))
 
 
-def kept_words(docs: DataFrame, limit_docs: int, limit_share: float) -> DataFrame:
-    """host, text_hash, total, removed: words in all copies of a text on a host, and those in lines above the host's limit."""
+def kept_words(docs: DataFrame, limit_docs: int) -> DataFrame:
+    """host, text_hash, total, removed: words in all copies of a text on a host, and those in lines above the limit."""
     found = stage(host_lines(docs).groupBy("host", "text_hash", "line").agg(F.sum("n").alias("n")), "host-lines")
-    texts = found.groupBy("host", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    often = found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > limit_docs)
-    hot = often.join(texts, "host").filter(F.col("held") > limit_share * F.col("texts")).select("host", "line", F.lit(True).alias("hot"))
+    # a line's documents are those of its texts; few texts have more than one
+    copies = docs.select("host", "text_hash", "doc_id").distinct().groupBy("host", "text_hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    held = found.join(copies, ["host", "text_hash"], "left").groupBy("host", "line").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("held"))
+    hot = held.filter(F.col("held") > limit_docs).select("host", "line", F.lit(True).alias("hot"))
     marked = found.join(hot, ["host", "line"], "left")
     return marked.groupBy("host", "text_hash").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("hot"), F.col("n")).otherwise(0)).alias("removed"))
 
 
-def apply_rules(docs: DataFrame, host_col: str = "source", limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, the base counts, n_removed (words in lines above the host's limit), base_failed and kept for each row of docs.
+def apply_rules(docs: DataFrame, host_col: str = "source", limit_docs: int = LIMIT_DOCS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """doc_id, the base counts, n_removed (words in lines above the limit), base_failed and kept for each row of docs.
 
     A null host is the host ''; a null text is empty, has no words and fails. Equal rows get equal results. Other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), "text")
-    lines = kept_words(rows.select("host", "text_hash", F.coalesce("text", F.lit("")).alias("_t")), limit_docs, limit_share)
+    lines = kept_words(rows.select("host", "text_hash", "doc_id", F.coalesce("text", F.lit("")).alias("_t")), limit_docs)
     base = base_counts(rows, ["doc_id", "host", "text_hash"]).join(lines, ["host", "text_hash"], "left")
     # copies multiply both sums alike
     base = base.withColumn("n_removed", F.coalesce(F.expr("n_words * removed div total"), F.lit(0)).cast("long"))

@@ -117,6 +117,15 @@ def test_quality_rules_reject_depleted(spark):
     assert not any(out[i] for i in range(30)) and all(out[i] for i in range(100, 130))
 
 
+def test_quality_rules_limit_does_not_rise_with_the_host(spark):
+    r = random.Random(12)
+    boiler, copied = say(r, 60), f"{say(r, 60)}\n{say(r, 5)}"
+    rows = [(i, f"{boiler}\n{say(r, 5)}", "h") for i in range(30)] + [(i, say(r, 40), "h") for i in range(100, 3100)]
+    rows += [(i, copied, "h") for i in range(5000, 5025)] + [(6000, say(r, 60), "h")] * 30
+    out = {x["doc_id"]: x["kept"] for x in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(out[i] for i in (*range(30), *range(5000, 5025))) and all(out[i] for i in (*range(100, 3100), 6000))
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: y", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "é😀\r\n\r\nWARC/1.1\r\n" * 40), (6, "http://f", "x" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
