@@ -18,6 +18,8 @@ from canopy.llm.common import stage, table, words
 TOPICS, LONG_WORD = 8, 7
 DIMS = ("source", "lang", "topic")
 MAX_CELLS = 100_000
+#: Raking ends after a round whose factors are all this close to 1, or after so many rounds.
+ROUNDS, CLOSE = 200, 1e-9
 NULL = "\x00null"
 
 
@@ -34,7 +36,7 @@ def smoothed(totals: dict, power: float) -> dict:
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
-def rake(cells: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, close: float = 1e-9) -> np.ndarray:
+def rake(cells: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Weights of cells (fitted share over observed share) by iterative proportional fitting. members: each cell's place in each dimension."""
     fitted = cells / cells.sum()
     for _ in range(rounds):
@@ -64,19 +66,25 @@ def calibrate(cells: np.ndarray, weights: np.ndarray, budget: float) -> np.ndarr
     return np.minimum(1.0, weights / max(w[w > 0].min(), 1e-300))
 
 
-def rake_frame(cells: DataFrame, power: float, budget_share: float, rounds: int = 20) -> DataFrame:
-    """rake and calibrate for a table of cells of any size; f by bisection on one sum a step."""
+def rake_frame(cells: DataFrame, power: float, budget_share: float, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+    """rake and calibrate for a table of cells of any size, with rake's end; one aggregate a round says how far off it was. f by bisection on one sum a step."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    out = cells.withColumn("fitted", F.col("tokens") / F.lit(float(max(total, 1))))
+    if not total:
+        return cells.select(*DIMS, F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
+    out = stage(cells.select(*DIMS, "tokens", (F.col("tokens") / F.lit(float(total))).alias("fitted")), "cells")
+    cells = out.drop("fitted")
     goals = {}
     for d in DIMS:
-        g = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("goal"))
+        g = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("seen")).select(d, F.when(F.col("seen") > 0, F.pow("seen", F.lit(power))).otherwise(0.0).alias("goal"))
         goals[d] = stage(g.crossJoin(F.broadcast(g.agg(F.sum("goal").alias("all")))).select(d, (F.col("goal") / F.col("all")).alias("goal")), "goal")  # the other side is one row
     for _ in range(rounds):
+        out = out.withColumn("off", F.lit(0.0))
         for d in DIMS:
-            sums = out.groupBy(d).agg(F.sum("fitted").alias("got")).join(goals[d], d)
-            out = out.join(sums, d).withColumn("fitted", F.when(F.col("got") > 0, F.col("fitted") * F.col("goal") / F.col("got")).otherwise(F.col("fitted"))).drop("got", "goal")
+            factors = out.groupBy(d).agg(F.sum("fitted").alias("got")).join(goals[d], d).select(d, F.when(F.col("got") > 0, F.col("goal") / F.col("got")).otherwise(1.0).alias("factor"))
+            out = out.join(factors, d).select(*DIMS, "tokens", (F.col("fitted") * F.col("factor")).alias("fitted"), F.greatest("off", F.abs(F.col("factor") - 1)).alias("off"))
         out = stage(out, "raked")
+        if out.agg(F.max("off")).first()[0] < close:
+            break
     out = out.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") * float(total) / F.col("tokens")).otherwise(0.0))
     low, high = 0.0, 1e12
     for _ in range(60):

@@ -272,6 +272,20 @@ def test_mixing_marginals_and_large_tables(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_mixing_large_tables_are_fitted_like_small_ones(spark):
+    # sources of mostly one language: 20 rounds are not enough
+    rows = [(f"s{k}", x, "0", 1000 * (k + 1) if (k < 2) == (x == "a") else 250 + k) for k in range(4) for x in "ab"]
+    cells = spark.createDataFrame([*rows, ("s9", "a", "0", 0)], "source string, lang string, topic string, tokens long")
+    small, is_small = mixing.cell_probabilities(cells, 0.5, 0.5)
+    large, is_large = mixing.cell_probabilities(cells, 0.5, 0.5, max_cells=4)
+    want = {tuple(x[:3]): x[3:] for x in small.collect()}
+    got = {tuple(x[:3]): x[3:] for x in large.collect()}
+    assert is_small and not is_large and set(got) == set(want)
+    assert all(abs(a - b) < 1e-6 * max(1, b) for k in want for a, b in zip(got[k], want[k], strict=True))
+    empty, _ = mixing.cell_probabilities(cells.filter("tokens = 0"), 0.5, 0.5, max_cells=0)
+    assert [tuple(x) for x in empty.collect()] == [("s9", "a", "0", 1.0, 1.0)]
+
+
 def test_held_keeps_every_partner(spark):
     rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), F.col("id").alias("_at"), F.lit("w").alias("_word"))
     keys = rows.filter("_at % 10 = 3").select("k")
