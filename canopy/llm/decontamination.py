@@ -2,11 +2,12 @@
 
 An item's posting weights are its BM25 term weights over its self-score, so a passage's score for an item is the share of
 the item's BM25 mass that the passage covers, and one threshold fits all items. Passages are windows of twice the longest
-item, one longest item apart, so each possible copy lies whole in one of them. A first bound by coarse blocks of items, as
+item, one longest item apart, so each possible copy lies whole in one of them. Items of more than 512 words do not widen the
+passages of shorter ones: they have indexes of their own, one for each doubling of the length. A first bound by coarse blocks of items, as
 one matrix operation for all passages of a text, leaves few (passage, block) pairs; in those, WAND with fine block maxima
 retrieves every item at or above the threshold. Retrieved items are verified by the 5-grams of question and answer.
 
-The index is what is sent to the executors; it is built from slices of at most `slice_items` items, whose size is thus
+The indexes are what is sent to the executors; they are built from slices of at most `slice_items` items, whose size is thus
 bounded, and documents are read once for each slice. Documents are rows of one pass; nothing is shuffled.
 """
 
@@ -36,7 +37,8 @@ OVERLAP = 0.5
 GRAM = 5
 SLICE_ITEMS = 20_000
 FINE, COARSE = 4, 64
-LONGEST = 512
+#: Items of up to so many words share an index; those of up to twice as many the next, and so on.
+SHORT = 512
 SEGMENT = 200_000
 
 
@@ -70,8 +72,13 @@ class Index:
     longest: int = 1
 
 
+def length_class(n: int) -> int:
+    """0 up to SHORT words, then one more for each doubling."""
+    return (max(1, -(-n // SHORT)) - 1).bit_length()
+
+
 def build(items: list[tuple[int, str]]) -> Index:
-    """An index of (id, text); items without words are left out."""
+    """An index of (id, text), whose passages fit its longest item; items without words are left out."""
     items = sorted((i, t) for i, t in items if normal(t))
     bags = []
     for _, t in items:
@@ -102,7 +109,15 @@ def build(items: list[tuple[int, str]]) -> Index:
             blocks[k // FINE] = max(blocks.get(k // FINE, 0.0), x)
         postings.append(([k for k, _ in posting], [x for _, x in posting], blocks))
     qa = [question_and_answer(t) for _, t in items]
-    return Index([i for i, _ in items], terms, postings, coarse, per, [(grams(q), grams(a)) for q, a in qa], min(LONGEST, max(sizes, default=1)))
+    return Index([i for i, _ in items], terms, postings, coarse, per, [(grams(q), grams(a)) for q, a in qa], max(sizes, default=1))
+
+
+def build_classes(items: list[tuple[int, str]]) -> list[Index]:
+    """An index for each class of lengths that items have."""
+    by: dict[int, list[tuple[int, str]]] = {}
+    for i, t in items:
+        by.setdefault(length_class(len(normal(t))), []).append((i, t))
+    return [build(by[k]) for k in sorted(by)]
 
 
 def wand(index: Index, terms: list[int], first: int, last: int, threshold: float) -> list[tuple[int, float]]:
@@ -153,9 +168,8 @@ def wand(index: Index, terms: list[int], first: int, last: int, threshold: float
     return found
 
 
-def search(index: Index, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
-    """Of a whole text, for each verified item: id, best score, overlaps of question and answer, first word of the passage."""
-    w = normal(text)
+def search(index: Index, w: list[str], threshold: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
+    """Of a whole text's words, for each verified item: id, best score, overlaps of question and answer, first word of the passage."""
     if not w or not index.ids:
         return []
     best: dict[int, tuple[float, float, float, int]] = {}
@@ -208,11 +222,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     n_slices = max(1, -(-wanted.count() // slice_items))
     out = []
     for s in range(n_slices):
-        index = build([tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == s).collect()])
+        indexes = build_classes([tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == s).collect()])
 
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], indexes: list[Index] = indexes) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for x in search(index, t, threshold, overlap)]
+                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for w in [normal(t)] for index in indexes for x in search(index, w, threshold, overlap)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         out.append(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"))

@@ -209,6 +209,19 @@ def test_leaks(spark, docs, none):
         assert {k: round(v, 9) for b in range(0, len(items), index.per_coarse) for k, v in D.wand(index, terms, b, min(b + index.per_coarse, len(items)), 0.1)} == want
 
 
+def test_leaks_of_long_items(spark):
+    r = random.Random(19)
+    long = {k: [say(r, n - n // 3).split(), say(r, n // 3).split()] for k, n in ((1, 600), (2, 2300), (3, 5000))}
+    items = [(k, f"{' '.join(q)}. {' '.join(a)}.") for k, (q, a) in long.items()] + [(9, say(r, 30))]
+    words = {k: q + a for k, (q, a) in long.items()}
+    texts = [(k, f"{say(r, 700)} {t} {say(r, 900)}") for k, t in items]
+    # seven tenths of an item, in a text that is longer and one that is not
+    texts += [(20, f"{say(r, 1300)} {' '.join(words[3][1000:4500])} {say(r, 9000)}"), (21, " ".join(words[2][600:2200]))]
+    texts += [(30, say(r, 12_000))]
+    got = {(x["doc_id"], x["item_id"]) for x in D.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (9, 9), (20, 3), (21, 2)}
+
+
 def brute(rows):
     def grams(t):
         w = (t or "").lower().split()
