@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.paths import ancestors, component_order, file_name, parent
 from canopy.functions.scalars import complexity, complexity_color
+from canopy.plans.work import cut
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -74,9 +75,29 @@ def limited(tree: DataFrame, levels: int) -> DataFrame:
     return tree.filter(F.col("depth") <= levels)
 
 
+def page_key(path: Column, kind: Column) -> Column:
+    """dfs_key, with the root before all."""
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(dfs_key(path, kind))
+
+
 def flattened(tree: DataFrame) -> DataFrame:
     """Nodes in page order."""
-    return tree.orderBy(F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(dfs_key(F.col("path"), F.col("type"))))
+    return tree.orderBy(page_key(F.col("path"), F.col("type")))
+
+
+def numbered(tree: DataFrame) -> DataFrame:
+    """Nodes with `at`, their place in page order from 1. Ranges of the order are sorted apart and each starts where the one before ends, so that no task has all nodes."""
+    key = page_key(F.col("path"), F.col("type"))
+    # the id is the range's number and, in the lower 33 bits, the place in it
+    ranged = cut(tree.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    ends, before = [], 0
+    for r in sorted(ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        ends.append((r["part"], before))
+        before += r["n"]
+    starts = tree.sparkSession.createDataFrame(ends, "_part long, _before long")
+    placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn("at", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")
 
 
 def visible(tree: DataFrame) -> DataFrame:
@@ -110,7 +131,7 @@ def breadcrumb(segments: list[str], to: int | None = None) -> list[str]:
     return segments[:-1] if to is None else segments[: to + 1]
 
 
-__all__ = ["breadcrumb", "chart_nodes", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "lazy_chart", "limited", "nodes", "subtree", "visible"]
+__all__ = ["breadcrumb", "chart_nodes", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "lazy_chart", "limited", "nodes", "numbered", "subtree", "visible"]
 
 
 def ancestors_of(tree: DataFrame, path: str) -> DataFrame:

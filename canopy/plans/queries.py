@@ -153,6 +153,13 @@ def common_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.common_root(document_files(spark, sf_dir).filter(F.col("path").startswith("src3/")))
 
 
+@query(f"""WITH {METRICS}, p AS (SELECT split_part(path, '/', 1) AS top, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder FROM f)
+SELECT CASE WHEN count(DISTINCT top) <> 1 THEN '' WHEN count(DISTINCT folder) = 1 AND count(*) = 1 THEN max(folder) ELSE max(top) END AS root FROM p""")
+def documents_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents"""
+    return tree.common_root(document_files(spark, sf_dir))
+
+
 COLOR = """CASE WHEN c <= 30 THEN printf('#%02x%02x%02x', CAST(floor(34 + c / 30.0 * 200 + 0.5) AS INT), CAST(floor(197 - c / 30.0 * 18 + 0.5) AS INT), CAST(floor(94 - c / 30.0 * 86 + 0.5) AS INT))
  WHEN c <= 60 THEN printf('#%02x%02x%02x', CAST(floor(234 + (c - 30) / 30.0 * 5 + 0.5) AS INT), CAST(floor(179 - (c - 30) / 30.0 * 111 + 0.5) AS INT), CAST(floor(8 + (c - 30) / 30.0 * 60 + 0.5) AS INT))
  ELSE printf('#%02x%02x%02x', CAST(floor(239 - (c - 60) / 40.0 * 19 + 0.5) AS INT), CAST(floor(68 - (c - 60) / 40.0 * 30 + 0.5) AS INT), CAST(floor(68 - (c - 60) / 40.0 * 30 + 0.5) AS INT)) END"""
@@ -470,9 +477,15 @@ def selected_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TREE}, k AS (SELECT path, type, depth, CASE WHEN path = '' THEN [] WHEN type = 'directory' THEN list_transform(string_split(path, '/'), lambda x: '1' || x) ELSE list_concat(list_transform(string_split(path, '/')[:-2], lambda x: '1' || x), ['0' || string_split(path, '/')[-1]]) END AS key FROM nodes)
 SELECT path, type, row_number() OVER (ORDER BY key) AS at FROM k WHERE path = 'src3' OR starts_with(path, 'src3/')""")
 def flattened_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One subtree in page order; its rows are numbered, which takes one task, as a page does"""
-    t = tree.subtree(document_tree(spark, sf_dir), "src3")
-    return t.select("path", "type", F.row_number().over(Window.orderBy(tree.dfs_key(F.col("path"), F.col("type")))).cast("long").alias("at"))
+    """One subtree in page order"""
+    return tree.numbered(tree.subtree(document_tree(spark, sf_dir), "src3")).select("path", "type", "at")
+
+
+@query(f"""WITH {TREE}, k AS (SELECT path, type, depth, CASE WHEN path = '' THEN [] WHEN type = 'directory' THEN list_transform(string_split(path, '/'), lambda x: '1' || x) ELSE list_concat(list_transform(string_split(path, '/')[:-2], lambda x: '1' || x), ['0' || string_split(path, '/')[-1]]) END AS key FROM nodes)
+SELECT path, type, row_number() OVER (ORDER BY key) AS at FROM k""")
+def flattened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree in page order"""
+    return tree.numbered(document_tree(spark, sf_dir)).select("path", "type", "at")
 
 
 @query(f"WITH {TREE} SELECT path, name, CAST(depth AS BIGINT) AS depth FROM nodes WHERE path IN ('', 'src3', 'src3/de')")

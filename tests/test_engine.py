@@ -8,6 +8,7 @@ from canopy.functions import scalars as S
 from canopy.functions.loc import loc
 from canopy.functions.paths import glob_to_regex
 from canopy.operators import deadcode, diff, graph, metrics, tree, watch_state
+from canopy.plans import queries
 
 
 def one(spark, column):
@@ -55,6 +56,22 @@ def test_tree(spark):
     assert [(r["path"], r["loc"], r["complexity"]) for r in tree.nodes(files.limit(0)).collect()] == [("", 0, 0)]
 
 
+def test_numbered_tree_and_whole_documents(spark):
+    r = random.Random(3)
+    files = spark.createDataFrame(sorted({("/".join(r.choice(["a", "b", "a b", "c.ts"]) for _ in range(r.randint(0, 4))) + f"/{k}.ts").lstrip("/") for k in range(300)}), "string").select(F.col("value").alias("path"), F.lit(1).cast("long").alias("loc"))
+    t = tree.nodes(files)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    got = {x["path"]: x["at"] for x in tree.numbered(t).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [got[x["path"]] for x in tree.flattened(t).collect()] == list(range(1, t.count() + 1))
+    assert [tuple(x) for x in tree.numbered(tree.nodes(files.limit(0))).select("path", "at").collect()] == [("", 1)] and tree.numbered(t.limit(0)).count() == 0
+    sf = "/root/testdata/sf0.001"
+    whole = queries.QUERIES["flattened_documents"](spark, sf).collect()
+    paths = {x["path"] for x in queries.document_files(spark, sf).collect()}
+    assert {x["path"] for x in whole if x["type"] == "file"} == paths and sorted(x["at"] for x in whole) == list(range(1, len(whole) + 1))
+    assert queries.QUERIES["documents_root"](spark, sf).first()[0] == ""
+
+
 def test_diff_and_gates(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, loc long")
     new = spark.createDataFrame([("b", 2), ("c", 9), ("d", 4)], "path string, loc long")
