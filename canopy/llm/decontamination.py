@@ -8,7 +8,8 @@ one matrix operation for all passages of a text, leaves few (passage, block) pai
 retrieves every item at or above the threshold. Retrieved items are verified by the 5-grams of question and answer.
 
 The indexes are what is sent to the executors; they are built from slices of at most `slice_items` items, whose size is thus
-bounded, and documents are read once for each slice. Documents are rows of one pass; nothing is shuffled.
+bounded, and documents are read once for each slice. Document frequencies, the mean length and the passages' widths are those
+of the whole benchmark, so scores do not depend on the slices. Documents are rows of one pass; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from operator import itemgetter
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import table
+from canopy.llm.common import stage, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -77,8 +78,50 @@ def length_class(n: int) -> int:
     return (max(1, -(-n // SHORT)) - 1).bit_length()
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """An index of (id, text), whose passages fit its longest item; items without words are left out."""
+@dataclass
+class Stats:
+    """Of the whole benchmark: items with words, their mean length, the longest of each class of lengths, items that hold a word."""
+
+    n: int
+    mean: float
+    longest: dict[int, int]
+    df: dict[str, int]
+
+
+def count(items: list[tuple[int, str]]) -> Stats:
+    df: dict[str, int] = {}
+    longest: dict[int, int] = {}
+    n = total = 0
+    for w in (normal(t) for _, t in items):
+        if w:
+            n, total, k = n + 1, total + len(w), length_class(len(w))
+            longest[k] = max(longest.get(k, 0), len(w))
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    return Stats(n, total / max(1, n), longest, df)
+
+
+def count_all(items: DataFrame) -> tuple[Stats, DataFrame]:
+    """count by Spark, without df; word and df instead as a table, as all words may be many."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple[str | None, int | None, int]] = []
+            for w in map(normal, b["text"]):
+                if w:
+                    rows += [(None, length_class(len(w)), len(w)), *((x, None, 1) for x in set(w))]
+            yield pd.DataFrame(rows, columns=["word", "kind", "n"]).astype({"kind": "Int64", "n": "int64"})
+
+    found = stage(items.mapInPandas(run, "word string, kind long, n long"), "item-words")
+    kinds = found.filter("word is null").groupBy("kind").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("total"), F.max("n").alias("longest")).collect()
+    n = sum(r["items"] for r in kinds)
+    df = stage(found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("df")), "item-df")
+    return Stats(n, sum(r["total"] for r in kinds) / max(1, n), {r["kind"]: r["longest"] for r in kinds}, {}), df
+
+
+def build(items: list[tuple[int, str]], stats: Stats | None = None) -> Index:
+    """An index of (id, text), whose passages fit the longest of its items' class of lengths; items without words are left out. stats: of these items, if not given."""
+    stats = stats or count(items)
     items = sorted((i, t) for i, t in items if normal(t))
     bags = []
     for _, t in items:
@@ -87,15 +130,10 @@ def build(items: list[tuple[int, str]]) -> Index:
             bag[w] = bag.get(w, 0) + 1
         bags.append(bag)
     sizes = [sum(b.values()) for b in bags]
-    mean = sum(sizes) / max(1, len(sizes))
-    df: dict[str, int] = {}
-    for b in bags:
-        for w in b:
-            df[w] = df.get(w, 0) + 1
-    terms = {w: i for i, w in enumerate(sorted(df))}
+    terms = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
     lists: list[list[tuple[int, float]]] = [[] for _ in terms]
     for k, (bag, n) in enumerate(zip(bags, sizes, strict=True)):
-        raw = {w: np.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean)) for w, tf in bag.items()}
+        raw = {w: np.log(1 + (stats.n - stats.df[w] + 0.5) / (stats.df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / stats.mean)) for w, tf in bag.items()}
         whole = sum(raw.values())
         for w, x in raw.items():
             lists[terms[w]].append((k, float(x / whole)))
@@ -109,15 +147,16 @@ def build(items: list[tuple[int, str]]) -> Index:
             blocks[k // FINE] = max(blocks.get(k // FINE, 0.0), x)
         postings.append(([k for k, _ in posting], [x for _, x in posting], blocks))
     qa = [question_and_answer(t) for _, t in items]
-    return Index([i for i, _ in items], terms, postings, coarse, per, [(grams(q), grams(a)) for q, a in qa], max(sizes, default=1))
+    return Index([i for i, _ in items], terms, postings, coarse, per, [(grams(q), grams(a)) for q, a in qa], max((stats.longest[length_class(n)] for n in sizes), default=1))
 
 
-def build_classes(items: list[tuple[int, str]]) -> list[Index]:
-    """An index for each class of lengths that items have."""
+def build_classes(items: list[tuple[int, str]], stats: Stats | None = None) -> list[Index]:
+    """An index for each class of lengths that items have. stats: of these items, if not given."""
+    stats = stats or count(items)
     by: dict[int, list[tuple[int, str]]] = {}
     for i, t in items:
         by.setdefault(length_class(len(normal(t))), []).append((i, t))
-    return [build(by[k]) for k in sorted(by)]
+    return [build(by[k], stats) for k in sorted(by)]
 
 
 def wand(index: Index, terms: list[int], first: int, last: int, threshold: float) -> list[tuple[int, float]]:
@@ -220,9 +259,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     # a range of ids at a time, so that an index has a bounded number of items whatever the benchmark's size
     wanted = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     n_slices = max(1, -(-wanted.count() // slice_items))
+    whole, df = count_all(wanted) if n_slices > 1 else (None, None)
     out = []
     for s in range(n_slices):
-        indexes = build_classes([tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == s).collect()])
+        part = [tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_slices)) == s).collect()]
+        stats = whole
+        if whole:  # of the words of this slice only
+            own = docs.sparkSession.createDataFrame([(w,) for w in sorted({w for _, t in part for w in normal(t)})], "word string")
+            stats = replace(whole, df={r["word"]: r["df"] for r in df.join(own, "word").collect()})
+        indexes = build_classes(part, stats)
 
         def run(batches: Iterator[pd.DataFrame], indexes: list[Index] = indexes) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -222,6 +222,16 @@ def test_leaks_of_long_items(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (9, 9), (20, 3), (21, 2)}
 
 
+def test_leak_scores_do_not_depend_on_slices(spark):
+    r = random.Random(23)
+    items = [(k, say(r, r.randint(16, 60)) + ". " + say(r, 6) + ".") for k in range(50)] + [(60, say(r, 700)), (61, say(r, 900)), (62, ""), (63, "...")]
+    texts = [(k, f"{say(r, 200)} {' '.join(t.split()[2:])} {say(r, 150)}") for k, t in items if len(t) > 9]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, sliced = ({(x["doc_id"], x["item_id"]): tuple(x)[2:] for x in D.find_leaks(docs, bench, slice_items=n).collect()} for n in (100, 9))
+    assert set(whole) == set(sliced) and {k for k, _ in texts} == {k for k, _ in whole}
+    assert all(abs(whole[k][0] - sliced[k][0]) < 1e-6 and whole[k][1:] == sliced[k][1:] for k in whole)
+
+
 def brute(rows):
     def grams(t):
         w = (t or "").lower().split()
