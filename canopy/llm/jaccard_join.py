@@ -185,7 +185,9 @@ def evaluate(group: pd.DataFrame, threshold: float, least: list[int], words: Wor
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, pair_bucket: int = PAIR_BUCKET, block: int = BLOCK) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), class_id (least doc_id of the component), n_links (documents at or above the threshold) for each row of docs.
+    """doc_id, text_key (xxhash64 of the text), class_id (least doc_id of the component), n_links (documents at or above the threshold), first for each row of docs.
+
+    first: whether the row has the least id (null is the largest) and then the least text_key of its component; equal rows all have it.
 
     Words are what white space separates, lower-cased. Texts without words (null, empty, blank) link to nothing and are their own class,
     as is any row without links. Rows that repeat an id or have none are documents like others; a class takes its least id that is
@@ -195,7 +197,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sketches = stage(rows.mapInPandas(sketch, f"doc_id {kind}, text_key long, print binary, n int, sig binary, buckets array<long>"), "sketches")
-    classes = sketches.filter("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
+    classes = sketches.filter("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("cid", F.explode("buckets").alias("bucket"))
@@ -217,10 +219,10 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     stars = large.join(leaders, "bucket").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
     clusters = components(near.union(stars))
 
-    members = clusters.join(classes.select(F.col("cid").alias("node"), "size", "n", "sig", "one"), "node")
+    members = clusters.join(classes.select(F.col("cid").alias("node"), "size", "n", "sig", "head"), "node")
     extent = members.groupBy("label").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("grams"))
     extent = extent.select("label", F.ceil(F.greatest(F.col("classes") / block, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    members = members.join(extent, "label").select(F.col("node").alias("cid"), "label", "size", "n", "sig", F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = members.join(extent, "label").select(F.col("node").alias("cid"), "label", "size", "n", "sig", F.col("head.doc_id").alias("_id"), F.col("head.text_key").alias("_key"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = stage(members, "members")
     bundles = max(1, -(-members.count() // block))
     rows, _ = held(rows, F.col("text_key"), members.select("_key"))  # most texts are in no cluster and stay where they are
@@ -239,13 +241,14 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
     found = stage(meet.groupBy("bundle", "lo", "hi").applyInPandas(verify, "cid long, links long, other long"), "links")
     joined = components(found.filter("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
-    ids = classes.select(F.col("cid").alias("node"), "least")
-    first = joined.join(ids, "node").groupBy("label").agg(F.min("least").alias("class_id"))
+    ids = classes.select(F.col("cid").alias("node"), "least", "head")
+    first = joined.join(ids, "node").groupBy("label").agg(F.min("least").alias("class_id"), F.min("head").alias("top"))
     links = found.groupBy(F.col("cid").alias("node")).agg(F.sum("links").alias("links"))
-    known = classes.select(F.col("cid").alias("node"), "print", "size", "least").join(joined, "node", "left").join(first, "label", "left").join(links, "node", "left").filter("size > 1 or links is not null")
-    known = known.select("print", F.coalesce("class_id", "least").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = classes.select(F.col("cid").alias("node"), "print", "size", "least", "head").join(joined, "node", "left").join(first, "label", "left").join(links, "node", "left").filter("size > 1 or links is not null")
+    known = known.select("print", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("top", "head").alias("top"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = sketches.select("doc_id", "text_key", "print").join(known, "print", "left")
-    return out.select("doc_id", "text_key", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    first = F.col("n_links").isNull() | (F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.text_key") == F.col("text_key")))
+    return out.select("doc_id", "text_key", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,17 +32,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (linked, however far) the document with the least id; all others."""
-    gone = stage(link(docs).filter(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_key").distinct(), "gone")
-    may, stays = held(docs, F.xxhash64("text"), gone.select("text_key"))
-    rest = may.join(gone, may["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(may["text"]) == gone["text_key"]), "left_anti")
-    return stays.unionByName(rest)
+    """Of each group of near duplicates (linked, however far) one row, with the least id, a null one last, and then the least text hash; all others."""
+    grouped = link(docs).filter("n_links > 0").groupBy("doc_id", "text_key").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    touched = stage(grouped.filter("not first or n > 1"), "touched")
+    same = lambda rows, keys: rows["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(rows["text"]) == keys["text_key"])
+    may, stays = held(docs, F.xxhash64("text"), touched.select("text_key"))
+    out = stays.unionByName(may.join(touched, same(may, touched), "left_anti"))
+    equal = touched.filter("first")
+    if equal.isEmpty():
+        return out
+    # one of the rows with one id and text
+    rows, _ = held(docs, F.xxhash64("text"), equal.select("text_key"))
+    return out.unionByName(rows.join(equal, same(rows, equal), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    leaks = stage(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Documents without a benchmark item. Only the text decides, so its hash, never null, stands for the document."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = stage(find_leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("text_key")).distinct(), "leaks")
+    return docs.join(leaks, F.xxhash64(docs["text"]) == leaks["text_key"], "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

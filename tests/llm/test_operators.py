@@ -347,6 +347,21 @@ def test_pipeline_near_duplicates_against_brute_force(spark, docs, rows, none):
     assert corpus_pipeline.near_duplicates(spark, none, "").count() == 0
 
 
+def test_pipeline_drops_rows_of_groups_only(spark, tmp_path):
+    r = random.Random(31)
+    a, b, c, d, e, item = (say(r, 80) for _ in range(6))
+    rows = [(1, a), (1, a), (1, a + " end"), (2, a), (None, b), (None, b), (None, b + " end"), (None, c), (None, c + " end"), (3, d), (3, e), (None, ""), (None, "")]
+    kept = Counter(tuple(x) for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    group = {t: g for g in (a, b, c) for t in (g, g + " end")}
+    assert Counter((i, group.get(t, t)) for i, t in kept.elements()) == Counter([(1, a), (None, b), (None, c), (3, d), (3, e), (None, ""), (None, "")])
+    assert not kept - Counter(rows)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = f"{say(r, 100)} {item} {say(r, 100)}"
+    rows = [(None, bad), (None, c), (None, None), (3, bad), (3, d), (3, d), (4, e)]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert Counter(tuple(x) for x in kept.collect()) == Counter(x for x in rows if x[1] != bad)
+
+
 def test_pipeline_run(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf).collect()
