@@ -260,6 +260,20 @@ def test_jaccard_join(spark, docs, none, rows):
     assert Counter((x["doc_id"], x["class_id"], x["n_links"]) for x in got) == brute(near)
 
 
+def test_pruning_stays_within_its_tolerance():
+    from math import comb
+
+    alive, lost = {0: 1.0}, 0.0  # equal values of a pair at the threshold: probability
+    for need in J.least_matches(J.THRESHOLD, J.TOLERANCE):
+        after = Counter()
+        for m, p in alive.items():
+            for k in range(J.STEP + 1):
+                after[m + k] += p * comb(J.STEP, k) * J.THRESHOLD**k * (1 - J.THRESHOLD) ** (J.STEP - k)
+        lost += sum(p for m, p in after.items() if m < need)
+        alive = {m: p for m, p in after.items() if m >= need}
+    assert 0 < lost <= J.TOLERANCE
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)]
