@@ -2,8 +2,8 @@
 
 Only hashes travel: a row for each long line (128 hash bits, document, position). They are range partitioned by hash,
 document (largest first) and position and sorted so, hence one hash may run over several partitions and a line held by
-a third of all documents is dealt evenly. The sorted runs are written to the shared folder; a pass that streams over
-them hands on each hash's first occurrence and count, and those few rows are merged. Decisions go back to documents as a
+a third of all documents is dealt evenly. The sorted runs are written to the shared folder; an aggregate by hash over them,
+which does not use their order, finds each hash's largest document and count. Decisions go back to documents as a
 run-length coded bitmap of lines; texts move only when a caller wants the kept text.
 """
 
