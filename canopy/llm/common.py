@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.plans.work import cut, work_path
+
 #: White space of the text contracts: space and \t \n \v \f \r, nothing else.
 WS = r"[ \t\n\x0B\f\r]"
 
+__all__ = ["WS", "free_name", "held", "stage", "table", "words", "work_path"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='canopy-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; one application's paths lie together, so that they can be removed together."""
-    return f"{shared_dir(spark)}/canopy-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: cuts the lineage, and a lost executor loses nothing."""
-    path = work_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def words(text: Column) -> Column:

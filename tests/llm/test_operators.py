@@ -1,50 +1,24 @@
 """Edge cases and brute-force comparisons: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
-import hashlib
 import random
 import re
 import zlib
 from collections import Counter
 
 import corpus_pipeline
-import pytest
 from pyspark.sql import functions as F
 
 from canopy.llm import decontamination as D
 from canopy.llm import html_extraction as H
 from canopy.llm import jaccard_join as J
-from canopy.llm import line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, warc
+from canopy.llm import line_dedup, mixing, quality_classifier, quality_rules, sharding, warc
 from canopy.llm.common import held
 from canopy.llm.components import components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, label int, shard int"
-
-
 def say(r, n):
     return " ".join("".join(r.choice("abcdeinorst") for _ in range(r.randint(1, 7))) for _ in range(n))
 
 
-@pytest.fixture(scope="module")
-def rows():
-    r = random.Random(4)
-    line = "a line that many documents share, long enough to count " + "x" * 9
-    base = say(r, 120)
-    texts = [None, "", "  \n\t ", "one", line, "long " * 30_000 + "end", base, base, base + " tail", base.replace("a", "o", 1), "password = hunter22x AKIA" + "A" * 16 + " " + "0f" * 20]
-    texts += [f"{say(r, 40)}\n{line}\n{say(r, 30)}" for _ in range(12)] + [say(r, r.randint(1, 200)) for _ in range(40)]
-    out = [(i, t, r.choice(["en", "de", None]), r.choice(["s0", "s0", "s1", None]), len(t or ""), "clash", 7, 9) for i, t in enumerate(texts)]
-    return [*out, out[20], out[20], (None, "no id", None, None, None, None, None, None)]
-
-
-@pytest.fixture(scope="module")
-def docs(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA).repartition(3)
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], SCHEMA)
-
-
 def test_shard(docs, none, rows):
     out = sharding.shard(docs, n_shards=7).collect()
     per = Counter(r["shard"] for r in out)
@@ -78,26 +52,6 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.apply_bitmaps(none, line_dedup.keep_bitmaps(none)).count() == 0
 
 
-def test_secrets_and_ledger(spark, docs, none, rows, tmp_path):
-    path = f"file://{tmp_path}/ledger"
-    out = secrets.scan_history(docs, path, path_col="doc_id").collect()
-    assert len(out) == len(rows)
-    found = {r["path"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in out if r["spans"]}
-    assert found == {10: [(0, 0, 20), (21, 1, 41), (42, 2, 82)]}
-    n = secrets.read_ledger(spark, path).count()
-    assert n == len({r[1] or "" for r in rows})
-    again = secrets.scan_history(docs, path, path_col="doc_id", batch="1").collect()
-    assert sorted(map(str, again)) == sorted(map(str, out)) and spark.read.parquet(f"{path}/batch=1").count() == 0
-    assert secrets.scan_history(none, f"{path}2", path_col="doc_id").count() == 0
-
-
-def test_spans_that_consume_each_other(spark):
-    rule = re.compile(secrets.RULES[0][1], re.A)
-    for text in ("secret=token:abcdefghij", "token=abc password='x y' api_key: Zz0/+_.=-9", "é😀 TOKEN=12345678", "passwd:=abcdefgh"):
-        got = spark.createDataFrame([(text,)], "t string").select(secrets.find_spans(F.col("t"))).first()[0]
-        assert [(s["start"], s["end"]) for s in got if s["kind"] == 0] == [m.span() for m in rule.finditer(text) if len(m[2]) >= 8]
-
-
 def test_quality_rules(docs, none, rows):
     out = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
     for i, t, *_ in rows:
@@ -306,7 +260,6 @@ def test_mixing_marginals_and_large_tables(spark):
             fitted[key[k]] += n * q[key]["weight"]
         goal = mixing.smoothed(seen, 0.5)
         assert small and all(abs(fitted[v] / sum(c.values()) - goal[v]) < 1e-6 for v in goal)
-    assert hashlib.sha256(b"").hexdigest()
 
 
 def test_mixing_large_tables_are_fitted_like_small_ones(spark):
