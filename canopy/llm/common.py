@@ -10,7 +10,7 @@ from canopy.plans.work import cut, work_path
 #: White space of the text contracts: space and \t \n \v \f \r, nothing else.
 WS = r"[ \t\n\x0B\f\r]"
 
-__all__ = ["WS", "free_name", "held", "stage", "table", "words", "work_path"]
+__all__ = ["WS", "free_name", "free_names", "held", "stage", "table", "words", "work_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """free_name of each."""
+    return [free_name(df, n) for n in names]
+
+
 #: Bits of a key filter, at most: what it broadcasts is never more than 32 MB. One row of it holds 32768 bits.
 FILTER_BITS, ROW_BITS = 1 << 28, 1 << 15
 
