@@ -23,12 +23,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import table
+from canopy.llm.common import free_name, stage, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
-#: Labelled rows that are trained on, at most; the vocabulary's size, at most.
-MAX_LABELLED, MAX_WORDS = 3000, 20_000
+#: What training takes, at most: labelled rows, words that get a vector of their own (others count by their form), characters of all rows.
+MAX_LABELLED, MAX_WORDS, MAX_CHARS = 3000, 20_000, 1 << 26
 DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 24
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words beyond the vocabulary count by their form; a repeated neighbour counts as a word of its own.
@@ -99,11 +99,11 @@ def forward(model: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z / model.temperature, -50, 50)))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 60) -> Model:
+def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 60, max_words: int = MAX_WORDS) -> Model:
     """A model from labelled texts; without both labels every score is the share of ones."""
     rows = [TOKEN.findall(t or "") for t in texts]
     counts = Counter(t for r in rows for t in r)
-    words = sorted((t for t, n in counts.items() if n >= 3), key=lambda t: (-counts[t], t))[:MAX_WORDS]
+    words = sorted((t for t, n in counts.items() if n >= 3), key=lambda t: (-counts[t], t))[:max_words]
     vocabulary = Vocabulary(zip(words, range(len(FORMS), len(FORMS) + len(words)), strict=True))
     index = index_vectors([*FORMS, *words])
     vectors, seen = index * 2, np.ones(len(index))
@@ -152,33 +152,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Trains on at most max_labelled labelled rows that are not held out, the same ones each time; rows with a null id, label or no text are left out."""
-    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).limit(2 * max_labelled).select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r[0], r[1], r[2]))
-    return train([r[1] for r in rows], [int(r[2]) for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS) -> Model:
+    """Trains on at most max_labelled labelled rows that are not held out, of max_chars characters in all, the same ones each time.
+
+    Rows with a null id, label or text are left out; of rows that share an id the one with the least text hash is taken. No rows give a
+    model whose scores are one half.
+    """
+    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())  # max_labelled rows at most
+    one = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    found = stage(one, "labelled")
+    sizes = sorted(tuple(r) for r in found.select(F.xxhash64("doc_id"), "doc_id", "quality", F.length("text")).collect())
+    used, left = [], max_chars
+    for _, i, y, n in sizes:
+        if n <= left:
+            used, left = [*used, (i, y)], left - n
+    taken = found if len(used) == len(sizes) else found.join(F.broadcast(docs.sparkSession.createDataFrame(used, found.select("doc_id", "quality").schema)), ["doc_id", "quality"])
+    rows = sorted(((r["doc_id"], int(r["quality"]), r["text"]) for r in taken.collect()), key=lambda r: (r[0], r[1]))
+    return train([r[2] for r in rows], [r[1] for r in rows], max_words=max_words)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The columns keep of docs (default: doc_id) with a score of the whole text. Null and empty texts score as a document without words; equal texts score alike."""
+    """The columns keep of docs (default: doc_id) with a score of the whole text. Null and empty texts score as a document without words; equal texts score alike. No rows give no rows."""
     from pyspark.sql import types as T
 
     keep = ["doc_id"] if keep is None else keep
+    text = free_name(docs, "_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = model.vocabulary()
         for b in batches:
-            x = np.array([pool(t, vocabulary, model.vectors, model.weight) for t in b["_text"]]).reshape(len(b), DIM + 2)
+            x = np.array([pool(t, vocabulary, model.vectors, model.weight) for t in b[text]]).reshape(len(b), DIM + 2)
             out = b[keep].copy()
             out[name] = forward(model, x)
             yield out
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))
     return rows.mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())]))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, by a model fitted on labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
