@@ -258,7 +258,7 @@ def test_mixing_marginals_and_large_tables(spark):
         for key, n in c.items():
             seen[key[k]] += n
             fitted[key[k]] += n * q[key]["weight"]
-        goal = mixing.smoothed(seen, 0.5)
+        goal = mixing.goals(seen, 0.5)
         assert small and all(abs(fitted[v] / sum(c.values()) - goal[v]) < 1e-6 for v in goal)
 
 
