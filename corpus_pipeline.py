@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import free_name, held, stage, table
+from canopy.llm.common import free_name, free_names, held, stage, table, words
 from canopy.llm.decontamination import find_leaks
 from canopy.llm.jaccard_join import link
-from canopy.llm.mixing import describe, mix
+from canopy.llm.mixing import describe_both, mix
 from canopy.llm.quality_classifier import fit, score
 from canopy.llm.sharding import shard
 
@@ -22,13 +22,18 @@ from canopy.llm.sharding import shard
 MIX_BUDGET = 0.8
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """docs' columns, whatever they are called."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject (score of one half or more)."""
+    """Documents that the classifier does not reject (score of one half or more). Null and empty texts score as documents without words; no rows give no rows."""
     name = free_name(docs, "quality_score")
     model = fit(docs, table(spark, sf_dir, "labels"))
     # the texts go to Python and back, instead of being dealt anew to meet their scores
     kept = score(docs, model, keep=docs.columns, name=name).filter(F.col(name) >= 0.5)
-    return kept.select(*docs.columns)
+    return kept.select(*own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,19 +52,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item. Only the text decides, so its hash, never null, stands for the document."""
+    """Documents without a benchmark item. Only the text decides, so its hash, never null, stands for the document.
+
+    Null and empty texts hold no item and stay; repeated rows stay or go together; no rows give no rows.
+    """
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     leaks = stage(find_leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("text_key")).distinct(), "leaks")
     return docs.join(leaks, F.xxhash64(docs["text"]) == leaks["text_key"], "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture draws."""
-    return mix(describe(docs.drop("topic", "tokens")), budget_share=MIX_BUDGET).filter("selected").select(*docs.columns)
+    """Documents that the mixture draws, over source, language and topic: docs' own column topic, if there is one, and else a fitted one.
+
+    Null and empty texts are drawn by the probability of their cell, repeated rows together; columns of any name stay as they are; no rows give no rows.
+    """
+    topic, tokens, *names = free_names(docs, "topic", "tokens", "weight", "probability", "selected")
+    if topic == "topic":
+        described, narrow = describe_both(docs, ["source", "lang"], topic, tokens)
+    else:
+        described, narrow, topic = docs.withColumn(tokens, F.size(words(F.col("text"))).cast("long")), None, "topic"
+    drawn = mix(described, budget_share=MIX_BUDGET, dims=("source", "lang", topic), tokens=tokens, names=tuple(names), narrow=narrow)
+    return drawn.filter(F.col(names[2])).select(*own(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with shard and slot."""
+    """All documents, with shard and slot, which replace columns of these names."""
     return shard(docs)
 
 
