@@ -5,7 +5,8 @@ the item's BM25 mass that the passage covers, and one threshold fits all items.
 item, one longest item apart, so each possible copy lies whole in one of them. Items of more than 512 words do not widen the
 passages of shorter ones: they have indexes of their own, one for each doubling of the length. A first bound by coarse blocks of items, as
 one matrix operation for all passages of a text, leaves few (passage, block) pairs; in those, WAND with fine block maxima
-retrieves every item at or above the threshold. Retrieved items are verified by the 5-grams of question and answer.
+retrieves every item at or above the threshold. Of a retrieved item the question and the answer are verified, each by the share of its
+5-grams that the passage holds and with a threshold of its own; one of fewer than five words must stand there whole.
 
 The indexes are what is sent to the executors; they are built from slices of at most `slice_items` items, whose size is thus
 bounded, and documents are read once for each slice. Document frequencies, the mean length and the passages' widths are those
@@ -34,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
-OVERLAP = 0.5
+OVERLAP = ANSWER_OVERLAP = 0.5
 GRAM = 5
 SLICE_ITEMS = 20_000
 FINE, COARSE = 4, 64
@@ -57,8 +58,23 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 def grams(w: list[str]) -> set[tuple[str, ...]]:
-    """Its 5-grams; all of it, if it is shorter."""
-    return {tuple(w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)} or ({tuple(w)} if w else set())
+    """Its 5-grams; none, if it is shorter."""
+    return {tuple(w[i : i + GRAM]) for i in range(len(w) - GRAM + 1)}
+
+
+class Passage:
+    """A window's words; its 5-grams and its words in a row are made when they are first asked for."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.grams, self.row = words, None, ""
+
+    def share(self, part: list[str], wanted: set[tuple[str, ...]]) -> float:
+        """The share of a part's 5-grams that stand here; of a shorter part 1 or 0. An empty part is everywhere."""
+        if wanted:
+            self.grams = grams(self.words) if self.grams is None else self.grams
+            return len(wanted & self.grams) / len(wanted)
+        self.row = self.row or f" {' '.join(self.words)} "
+        return float(not part or f" {' '.join(part)} " in self.row)
 
 
 @dataclass
@@ -69,7 +85,8 @@ class Index:
     postings: list[tuple[list[int], list[float], dict[int, float]]]
     coarse: np.ndarray  # term (the last: any other word) by coarse block: largest weight
     per_coarse: int
-    parts: list[tuple[set, set]] = field(default_factory=list)
+    #: Of each item the words and 5-grams of question and answer.
+    parts: list[tuple[list[str], set, list[str], set]] = field(default_factory=list)
     longest: int = 1
 
 
@@ -147,7 +164,7 @@ def build(items: list[tuple[int, str]], stats: Stats | None = None) -> Index:
             blocks[k // FINE] = max(blocks.get(k // FINE, 0.0), x)
         postings.append(([k for k, _ in posting], [x for _, x in posting], blocks))
     qa = [question_and_answer(t) for _, t in items]
-    return Index([i for i, _ in items], terms, postings, coarse, per, [(grams(q), grams(a)) for q, a in qa], max((stats.longest[length_class(n)] for n in sizes), default=1))
+    return Index([i for i, _ in items], terms, postings, coarse, per, [(q, grams(q), a, grams(a)) for q, a in qa], max((stats.longest[length_class(n)] for n in sizes), default=1))
 
 
 def build_classes(items: list[tuple[int, str]], stats: Stats | None = None) -> list[Index]:
@@ -207,7 +224,7 @@ def wand(index: Index, terms: list[int], first: int, last: int, threshold: float
     return found
 
 
-def search(index: Index, w: list[str], threshold: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
+def search(index: Index, w: list[str], threshold: float, overlap: float, answer_overlap: float = ANSWER_OVERLAP) -> list[tuple[int, float, float, float, int]]:
     """Of a whole text's words, for each verified item: id, best score, overlaps of question and answer, first word of the passage."""
     if not w or not index.ids:
         return []
@@ -238,17 +255,16 @@ def search(index: Index, w: list[str], threshold: float, overlap: float) -> list
             terms = terms[here > 0]
             passage = None
             for item, score in wand(index, terms.tolist(), int(block) * index.per_coarse, min((int(block) + 1) * index.per_coarse, len(index.ids)), threshold):
-                passage = passage or grams(part[lo:hi])
-                q, a = index.parts[item]
-                shares = len(q & passage) / max(1, len(q)), len(a & passage) / max(1, len(a))
-                both = (len(q & passage) + len(a & passage)) / max(1, len(q) + len(a))
-                if both >= overlap and (item not in best or score > best[item][0]):
+                passage = passage or Passage(part[lo:hi])
+                q, q_grams, a, a_grams = index.parts[item]
+                shares = passage.share(q, q_grams), passage.share(a, a_grams)
+                if shares[0] >= overlap and shares[1] >= answer_overlap and (item not in best or score > best[item][0]):
                     best[item] = (score, *shares, start + lo)
     return [(index.ids[k], *v) for k, v in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_items: int = SLICE_ITEMS) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap, first_word for each document and benchmark item that it contains.
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP, slice_items: int = SLICE_ITEMS) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap, first_word for each document and benchmark item whose question and answer it contains.
 
     Null and empty texts contain and are nothing; items with a null id are left out, items with equal ids are each looked
     for, equal documents each get their rows. Other columns are not read. No items or no documents give no rows.
@@ -271,7 +287,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
         def run(batches: Iterator[pd.DataFrame], indexes: list[Index] = indexes) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for w in [normal(t)] for index in indexes for x in search(index, w, threshold, overlap)]
+                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for w in [normal(t)] for index in indexes for x in search(index, w, threshold, overlap, answer_overlap)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         out.append(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"))
@@ -279,4 +295,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds, with score, overlaps and place."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
