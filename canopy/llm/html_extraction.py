@@ -3,7 +3,8 @@
 A page becomes a tree of block elements with runs of text as leaves. Each node is content or not: its own potential is a
 linear score of features (tag, words in class and id, link density, length, punctuation), and each edge has a potential
 for the labels of parent and child, by the kind of edge. Sum-product messages run up and down the tree and give exact marginals; leaves with a
-marginal of one half or more are the text. The parameters are fitted on labelled pages: a generator here writes pages of
+marginal of one half or more are the text. Node weights and edge potentials are trained together, by the likelihood of whole labelled
+trees, whose gradient is what the marginals say less what the labels say: a generator here writes pages of
 several layouts with the label of every block. Pages are independent, so a page is one row's work and nothing is shuffled.
 """
 
@@ -29,11 +30,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # fixed values of HTML
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button".split())
+RAW = frozenset("script style title textarea noscript template iframe".split())
+CONTROLS = frozenset("button select".split())  # their text is a form's; a block that starts ends them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+BLOCK = frozenset("address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 # features: tags by role, and words of class, id and role attributes
 ROLES = [
     ("article", "article main"), ("paragraph", "p blockquote pre"), ("heading", "h1 h2 h3 h4 h5 h6"), ("nav", "nav menu"), ("aside", "aside"), ("footer", "footer"), ("header", "header"),
@@ -61,28 +63,36 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """Block elements and runs of text, parents first, in page order. Unclosed and stray tags are taken as browsers do."""
+    """Block elements and runs of text, parents first, in page order. Unclosed and stray tags are taken as browsers do; an end tag costs what it closes."""
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # inline elements refer to their block
-    leaf, links, at = -1, 0, 0
+    blocks: dict[str, int] = {}  # open blocks by name
+    inline: list[dict[str, int]] = [{}]  # for each open block, the inline elements open in it by name
+    leaf, links, controls, at = -1, 0, 0, 0
 
     def text(raw: str) -> None:
         nonlocal leaf
-        if not raw or (leaf < 0 and raw.isspace()):
+        if controls or not raw or (leaf < 0 and raw.isspace()):
             return
         if leaf < 0:
             leaf = len(nodes)
-            nodes.append(Node(stack[-1][0] if stack[-1][0] not in INLINE else nodes[stack[-1][1]].tag, stack[-1][1], leaf=True))
-        n = nodes[leaf]
-        n.parts.append(raw)
-        n.chars += len(raw)
-        n.linked += len(raw) if links else 0
+            nodes.append(Node(nodes[stack[-1][1]].tag, stack[-1][1], leaf=True))
+        n, said = nodes[leaf], entities.unescape(raw) if "&" in raw else raw  # a reference ends where a tag starts
+        n.parts.append(said)
+        n.chars += len(said)
+        n.linked += len(said) if links else 0
 
     def pop(to: int) -> None:
-        nonlocal leaf, links
-        for name, _ in stack[to:]:
-            links -= name == "a"
-            leaf = leaf if name in INLINE else -1
+        nonlocal leaf, links, controls
+        for name, _ in reversed(stack[to:]):
+            if name not in BLOCK:
+                links -= name == "a"
+                controls -= name in CONTROLS
+                inline[-1][name] -= 1
+            else:
+                leaf = -1
+                blocks[name] -= 1
+                inline.pop()
         del stack[to:]
 
     while m := TOKEN.search(page, at):
@@ -92,20 +102,17 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and all(x != tag for x, _ in stack):
-                leaf = -1 if tag == "p" else leaf
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag does not close blocks
+            if inline[-1].get(tag, 0) if tag not in BLOCK else blocks.get(tag, 0):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop(k)
+            elif tag == "p":
+                leaf = -1
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else len(page)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -113,20 +120,30 @@ def parse(page: str) -> list[Node]:
             elif tag == "br":
                 text(" ")
             continue
-        if tag not in INLINE:
-            leaf = -1
+        if tag not in BLOCK:
+            foreign = tag in ("svg", "math") or inline[-1].get("svg") or inline[-1].get("math")
+            if not (foreign and m[3].rstrip().endswith("/")):
+                links += tag == "a"
+                controls += tag in CONTROLS
+                inline[-1][tag] = inline[-1].get(tag, 0) + 1
+                stack.append((tag, stack[-1][1]))
+            continue
+        leaf = -1
+        if controls and any(inline[-1].get(c) for c in CONTROLS):
+            pop(next(k for k in range(len(stack)) if stack[k][1] == stack[-1][1] and stack[k][0] in CONTROLS))
+        ends = CLOSES.get(tag, set())
+        if blocks.get("p") or any(blocks.get(x) for x in ends):
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item the one before it
                 name = stack[k][0]
-                if name == "p" or name in CLOSES.get(tag, ()):
+                if name == "p" or name in ends:
                     pop(k)
                     break
-                if name not in INLINE and (tag not in CLOSES or name in HOLDS.get(tag, ())):
+                if name in BLOCK and (not ends or name in HOLDS.get(tag, ())):
                     break
-            nodes.append(Node(tag, stack[-1][1], m[3]))
-            stack.append((tag, len(nodes) - 1))
-        else:
-            links += tag == "a"
-            stack.append((tag, stack[-1][1]))
+        nodes.append(Node(tag, stack[-1][1], m[3]))
+        stack.append((tag, len(nodes) - 1))
+        blocks[tag] = blocks.get(tag, 0) + 1
+        inline.append({})
     text(page[at:])
     return nodes
 
@@ -228,17 +245,31 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
     return pages
 
 
-@lru_cache(maxsize=1)
-def fit(n_pages: int = 400, steps: int = 600, l2: float = 1e-4) -> tuple[list[float], Edges]:
-    """Weights of the node features and log potentials of the edges, from labelled pages.
-
-    An element's label is that of most of its text. Nodes are fitted by logistic regression; edges by how much a parent's
-    label makes a child's likelier than its share, so that a node's own evidence counts once.
-    """
-    xs, ys, pairs = [], [], np.full((3, 2, 2), 0.5)
+def forest_marginals(own: np.ndarray, up: np.ndarray, kind: np.ndarray, levels: list[np.ndarray], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """marginals for many trees at once, level by level: log odds of each node, and for each node the joint probabilities of (parent, own) label 00, 01, 10, 11 (roots: zeros)."""
+    belief, sent = own.copy(), np.zeros_like(own)
+    for at in reversed(levels[1:]):
+        b, (p00, p01, p10, p11) = belief[at], edges[kind[at]].T
+        sent[at] = np.logaddexp(p11 + b, p10) - np.logaddexp(p01 + b, p00)
+        np.add.at(belief, up[at], sent[at])
+    below, joint = belief.copy(), np.zeros((len(own), 4))
+    for at in levels[1:]:
+        rest, (p00, p01, p10, p11) = belief[up[at]] - sent[at], edges[kind[at]].T
+        belief[at] += np.logaddexp(p11 + rest, p01) - np.logaddexp(p10 + rest, p00)
+        logs = np.stack([p00, p01 + below[at], p10 + rest, p11 + rest + below[at]], axis=1)
+        joint[at] = np.exp(logs - logs.max(axis=1, keepdims=True))
+        joint[at] /= joint[at].sum(axis=1, keepdims=True)
+    return belief, joint
+
+
+def labelled_forest(n_pages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """features, labels, parents, edge types and levels of the nodes of labelled pages. An element's label is that of most of its text."""
+    xs, ys, ups, kinds, depths = [], [], [], [], []
     for page in labelled_pages(n_pages):
-        nodes = parse(page)
-        good, every = [0] * len(nodes), [0] * len(nodes)
+        nodes, first = parse(page), len(ys)
+        good, every, depth = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+        for i, n in enumerate(nodes):
+            depth[i] = depth[n.up] + 1 if i else 0
         for i in range(len(nodes) - 1, -1, -1):
             if nodes[i].leaf:
                 every[i] = nodes[i].chars
@@ -247,26 +278,39 @@ def fit(n_pages: int = 400, steps: int = 600, l2: float = 1e-4) -> tuple[list[fl
             if i:
                 good[nodes[i].up] += good[i]
                 every[nodes[i].up] += every[i]
-        y = [int(2 * g > e) for g, e in zip(good, every, strict=True)]
-        for i in range(1, len(nodes)):
-            pairs[edge_type(nodes, i), y[nodes[i].up], y[i]] += 1
         xs.append(features(nodes))
-        ys += y
-    x, y = np.concatenate(xs), np.array(ys, dtype=float)
-    w, moment, scale = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        ys += [int(2 * g > e) for g, e in zip(good, every, strict=True)]
+        ups += [n.up + first for n in nodes]
+        kinds += [edge_type(nodes, i) if i else 0 for i in range(len(nodes))]
+        depths += depth
+    deep = np.array(depths)
+    return np.concatenate(xs), np.array(ys, dtype=float), np.array(ups), np.array(kinds), [np.flatnonzero(deep == d) for d in range(deep.max() + 1)]
+
+
+@lru_cache(maxsize=1)
+def fit(n_pages: int = 240, steps: int = 150, l2: float = 1e-3) -> tuple[list[float], Edges]:
+    """Weights of the node features and log potentials of the edges: both at once the likeliest for labelled trees, less a penalty on their squares."""
+    x, y, up, kind, levels = labelled_forest(n_pages)
+    child, label = np.concatenate(levels[1:]), y.astype(int)
+    seen = np.zeros((3, 4))
+    np.add.at(seen, (kind[child], 2 * label[up[child]] + label[child]), 1.0)
+    w = [np.zeros(x.shape[1]), np.zeros((3, 4))]
+    moment, scale = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w]
     for t in range(1, steps + 1):  # Adam
-        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + l2 * w
-        moment, scale = 0.9 * moment + 0.1 * g, 0.99 * scale + 0.01 * g * g
-        w -= 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(scale / (1 - 0.99**t)) + 1e-8)
-    child = pairs.sum((0, 1)) / pairs.sum()
-    lift = np.log(pairs / pairs.sum(2, keepdims=True) / child)
-    return w.tolist(), tuple(tuple(x.ravel().tolist()) for x in lift)
+        belief, joint = forest_marginals(x @ w[0], up, kind, levels, w[1])
+        expected = np.zeros((3, 4))
+        np.add.at(expected, kind[child], joint[child])
+        for k, g in enumerate((x.T @ (1 / (1 + np.exp(-belief)) - y), expected - seen)):
+            g = g / len(y) + l2 * w[k]
+            moment[k], scale[k] = 0.9 * moment[k] + 0.1 * g, 0.99 * scale[k] + 0.01 * g * g
+            w[k] = w[k] - 0.1 * (moment[k] / (1 - 0.9**t)) / (np.sqrt(scale[k] / (1 - 0.99**t)) + 1e-8)
+    return w[0].tolist(), tuple(tuple(v) for v in w[1].tolist())
 
 
 def main_text(page: str, weights: np.ndarray, edges: Edges) -> str:
     nodes = parse(page)
     belief = marginals(nodes, (features(nodes) @ weights).tolist(), edges)
-    blocks = (" ".join(entities.unescape("".join(n.parts)).split()) for n, b in zip(nodes, belief, strict=True) if n.leaf and b >= 0)
+    blocks = (" ".join("".join(n.parts).split()) for n, b in zip(nodes, belief, strict=True) if n.leaf and b >= 0)
     return "\n".join(b for b in blocks if b)
 
 
@@ -285,4 +329,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, main text and its length of every page."""
     return extract(table(spark, sf_dir, "pages"))
