@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopy.llm import decontamination as D
 from canopy.llm import html_extraction as H
 from canopy.llm import jaccard_join as J
-from canopy.llm import line_dedup, mixing, quality_classifier, quality_rules, sharding, warc
+from canopy.llm import line_dedup, mixing, quality_classifier, quality_rules, sharding
 from canopy.llm.common import held
 from canopy.llm.components import components
 
@@ -80,18 +80,6 @@ def test_quality_rules_limit_does_not_rise_with_the_host(spark):
     assert not any(out[i] for i in (*range(30), *range(5000, 5025))) and all(out[i] for i in (*range(100, 3100), 6000))
 
 
-def test_warc(spark, tmp_path):
-    rows = [(1, "http://a/\r\nX: y", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "é😀\r\n\r\nWARC/1.1\r\n" * 40), (6, "http://f", "x" * 3000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    warc.write_archives(warc.plan_records(pages), f"file://{tmp_path}/w", segment_chars=100)
-    closed = {r["record_id"]: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
-    got = {int(k[10:-1]): (r["type"], r["payload_bytes"], r["refers_to"], r["intact"]) for k, r in closed.items()}
-    size = lambda t: len((t or "").encode())
-    assert got == {1: ("revisit", 11, "<urn:page:2>", True), 2: ("response", 11, None, True), 3: ("revisit", 0, "<urn:page:4>", True), 4: ("response", 0, None, True), 5: ("response", size(rows[4][2]), None, True), 6: ("response", 3000, None, True)}
-    chunks = sorted(((r["record_id"], r["chunk"], bytes(r["data"])) for r in warc.read_archives(spark, f"file://{tmp_path}/w", with_data=True).collect()))
-    assert b"".join(c[2] for c in chunks if c[0] == "<urn:page:5>").decode() == rows[4][2]
-
-
 def test_html():
     weights, edges = H.fit()
     import numpy as np
