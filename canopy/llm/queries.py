@@ -12,7 +12,7 @@ from canopy.llm.jaccard_join import op10_jaccard_join
 from canopy.llm.line_dedup import OP3_SQL, op3_line_dedup
 from canopy.llm.mixing import op4_mixing
 from canopy.llm.quality_classifier import op1_quality_classifier
-from canopy.llm.quality_rules import op7_quality_rules
+from canopy.llm.quality_rules import OP7_SQL, op7_quality_rules
 from canopy.llm.secrets import OP5_SQL, op5_secrets
 from canopy.llm.sharding import op2_shard
 from canopy.llm.warc import OP6_SQL, op6_warc
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_secrets": OP5_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_secrets": OP5_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
