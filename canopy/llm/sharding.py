@@ -7,7 +7,7 @@ permuted in their block by a random key, cut by the block's row of the matrix, e
 All that moves only fingerprints of the rows; the rows themselves travel once, to meet their shard and slot.
 
 The driver holds block counts and the matrix only, at most `max_matrix` numbers whatever the input's size; the matrix is
-what is broadcast. No row is counted twice and nothing is gathered by shard: the largest group is a block or a cell.
+what is broadcast. It holds up to max_matrix / 256 shards, more need a larger one. No row is counted twice and nothing is gathered by shard: the largest group is a block or a cell.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from canopy.llm.common import free_name, stage, table
 
-FINE = 16384
+FINE, LEAST_BLOCKS = 16384, 256
 #: Equal rows are numbered in runs of so many.
 COPIES = 1 << 16
 CHUNK = 64
@@ -60,6 +60,12 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> np.n
     return out
 
 
+def matrix_size(total: int, n_shards: int, rows_per_block: int, rows_per_cell: int, max_matrix: int) -> tuple[int, int]:
+    """(cells, blocks), whose product is max_matrix at most: pieces of a shard as long as LEAST_BLOCKS blocks fit, then as many blocks as do."""
+    parts = max(1, min(256, max(16, -(-total // (n_shards * rows_per_cell))), max_matrix // (LEAST_BLOCKS * n_shards)))
+    return n_shards * parts, min(FINE, 1 << max(8, (total // rows_per_block).bit_length()), 1 << ((max_matrix // (n_shards * parts)).bit_length() - 1))
+
+
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_block: int = 256, rows_per_cell: int = 512, max_matrix: int = 8_000_000) -> DataFrame:
     """docs with `shard` (0 to n_shards - 1; counts at most one apart) and `slot` (gapless from 0 in each shard), shuffled uniformly.
 
@@ -67,6 +73,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_block: i
     all columns are interchangeable, each gets its own shard and slot; no rows give no rows. Everything follows from the
     rows' values, so a lost task recomputes to the same. Rows are told apart by 128 bits of hash over all columns.
     """
+    if n_shards < 1 or n_shards * LEAST_BLOCKS > max_matrix:
+        raise ValueError(f"{n_shards} shards need a max_matrix of {n_shards * LEAST_BLOCKS} at least")
     docs = docs.drop("shard", "slot")
     spark = docs.sparkSession
     high, low, h, l, one = (free_name(docs, f"_{x}") for x in ("high", "low", "h", "l", "one"))
@@ -85,9 +93,8 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_block: i
     total = sum(counts)
     if not total:
         return docs.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
-    parts = min(256, max(16, -(-total // (n_shards * rows_per_cell)))) if n_shards <= 4096 else 1
-    n_cells = n_shards * parts
-    n_blocks = 1 << min(14, max(8, (total // rows_per_block).bit_length()), max(8, (max_matrix // n_cells).bit_length() - 1))
+    n_cells, n_blocks = matrix_size(total, n_shards, rows_per_block, rows_per_cell, max_matrix)
+    parts = n_cells // n_shards
     per = FINE // n_blocks
     rows = [sum(counts[i * per : (i + 1) * per]) for i in range(n_blocks)]
     size = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -123,6 +130,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20, rows_per_block: i
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every document in 40 shards, under the law that counts are at most one apart."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

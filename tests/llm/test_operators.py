@@ -34,7 +34,14 @@ def test_shard(docs, none, rows):
     m = sharding.communication_matrix([30, 50, 20], [25, 25, 50], 1)
     assert m.sum(0).tolist() == [25, 25, 50] and m.sum(1).tolist() == [30, 50, 20]
     import numpy as np
-
+    import pytest
+
+    for n_shards, total, bound in ((200, 10**9, 8_000_000), (4096, 10**9, 8_000_000), (31_250, 10**6, 8_000_000), (7, 60, 2000), (40, 10**12, 8_000_000)):
+        cells, blocks = sharding.matrix_size(total, n_shards, 256, 512, bound)
+        assert cells * blocks <= bound and cells % n_shards == 0 and blocks & (blocks - 1) == 0 and blocks >= 256
+    with pytest.raises(ValueError):
+        sharding.shard(docs, n_shards=40_000)
+    assert max(Counter(r["shard"] for r in sharding.shard(docs, n_shards=7, max_matrix=2000).collect()).values()) <= -(-len(rows) // 7)
     big = [sharding.hypergeometric(np.random.default_rng(s), 2_000_000_000, 2_000_000_000, 1000) for s in range(200)]
     assert 490 < np.mean(big) < 510 and 12 < np.std(big) < 20
 
