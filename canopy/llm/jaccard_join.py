@@ -221,9 +221,10 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     stars = large.join(leaders, "bucket").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
     clusters = components(near.union(stars))
 
-    members = clusters.join(classes.select(F.col("cid").alias("node"), "size", "n", "sig", "head"), "node")
+    # tables on both sides of the join by cluster let it split a hot one
+    members = stage(clusters.join(classes.select(F.col("cid").alias("node"), "size", "n", "sig", "head"), "node"), "clustered")
     extent = members.groupBy("label").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("grams"))
-    extent = extent.select("label", F.ceil(F.greatest(F.col("classes") / block, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    extent = stage(extent.select("label", F.ceil(F.greatest(F.col("classes") / block, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")), "extent")
     members = members.join(extent, "label").select(F.col("node").alias("cid"), "label", "size", "n", "sig", F.col("head.doc_id").alias("_id"), F.col("head.text_key").alias("_key"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = stage(members, "members")
     bundles = max(1, -(-members.count() // block))
@@ -254,4 +255,5 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of every document."""
     return link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
