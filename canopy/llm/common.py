@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from canopy.plans.work import cut, work_path
 #: White space of the text contracts: space and \t \n \v \f \r, nothing else.
 WS = r"[ \t\n\x0B\f\r]"
 
-__all__ = ["WS", "free_name", "free_names", "held", "stage", "table", "words", "work_path"]
+__all__ = ["WS", "free_name", "free_names", "held", "once", "stage", "table", "words", "work_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS + "+"), lambda w: w != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: a lambda's argument stands for its value."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}

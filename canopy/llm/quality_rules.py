@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import free_names, held, stage, table, words
+from canopy.llm.common import free_names, held, once, stage, table, words
 
 WINDOW = 8
 #: A line is boilerplate in more distinct documents of its host than this.
@@ -23,12 +23,11 @@ LEAST_WORDS, LEAST_SHARE = 20, 0.3
 
 def window_hashes(hashes: Column, width: int = WINDOW) -> Column:
     """A hash for each run of width (a power of two) elements: of pairs, pairs of pairs, and so on. None for shorter arrays."""
-    step = 1
-    while step < width:
-        n = F.greatest(F.size(hashes) - step, F.lit(0))
-        hashes = F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
-        step *= 2
-    return hashes
+    if width == 1:
+        return hashes
+    step = width // 2
+    ends = lambda a: (F.greatest(F.size(a) - step, F.lit(0)))
+    return once(window_hashes(hashes, step), lambda a: F.zip_with(F.slice(a, F.lit(1), ends(a)), F.slice(a, F.lit(step + 1), ends(a)), lambda x, y: F.xxhash64(x, y)))
 
 
 def normal(line: Column) -> Column:
@@ -57,10 +56,10 @@ def described(docs: DataFrame, host_col: str) -> DataFrame:
         F.filter(line_hashes(F.col("_t")), lambda x: x["n"] > 0).alias("lines"),
         window_hashes(F.transform("_w", lambda w: F.xxhash64(w))).alias("_x"),
     )
-    d = d.select(*keep, "n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), "lines", "_x")
+    d = d.select(*keep, "n_words", "word_chars", "n_symbols", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), "lines", "_x", (F.size(F.array_distinct("_x")) < F.size("_x")).alias("_r"))
     # of windows that are sorted with their places, those equal to a neighbour are repeated
     paired = F.array_sort(F.transform("_x", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeats = F.size(F.array_distinct("_x")) < F.size("_x")
+    repeats = F.col("_r")
     d = d.withColumn("_s", F.when(repeats, paired))
     again = F.filter("_s", lambda x, i: ((i > 0) & (F.get("_s", i - 1)["h"] == x["h"])) | (F.get("_s", i + 1)["h"] == x["h"]))
     d = d.withColumn("_p", F.when(repeats, F.array_sort(F.transform(again, lambda x: x["i"]))))

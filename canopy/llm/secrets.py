@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import held, stage, table, work_path
+from canopy.llm.common import held, once, stage, table, work_path
 
 RULE_VERSION = "base-1"
 # fixed values: the kinds in their order, pattern, group whose length counts, least length
@@ -70,11 +70,6 @@ def find_spans(text: Column, rules: list[tuple[str, str, int, int]] = RULES) ->
     return F.array_sort(F.concat(*found))
 
 
-def once(value: Column, use: object) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def read_ledger(spark: SparkSession, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """blob, spans of what is known for a rule version; empty where nothing is yet. Two runs at once may both have added a blob, with equal spans."""
     try:
