@@ -78,7 +78,7 @@ def run_analyze(spark: SparkSession, a: argparse.Namespace, config: dict) -> int
 def run_dead(spark: SparkSession, a: argparse.Namespace, config: dict) -> int:
     cache = os.path.join(a.path, DEFAULT_CACHE) if config.get("cache", {}).get("enabled", True) else None
     found = dead_code(spark, a.path, [*DEAD_EXCLUDES, *a.exclude], cache)
-    kept = found.dead.filter(F.col("confidence") >= a.min_confidence)
+    kept = deadcode.confident(found.dead, a.min_confidence)
     summary = deadcode.filtered_summary(found.dead, found.symbols, a.min_confidence)
     R.emit(R.dead_json(kept, summary) if a.format == "json" else R.dead_text(kept, summary), a.output)
     return GATE_FAILED if a.threshold and not deadcode.summary_gate(summary, [a.threshold]).isEmpty() else 0

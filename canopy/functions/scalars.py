@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: colour stops (score, red, green, blue), gradient for legends, units
@@ -122,3 +122,8 @@ def tooltip(complexity_value: Column, ratio: Column, overlay: bool = True) -> tu
     shown = F.concat(F.format_string("%.1f", complexity_value.cast("double")), F.lit(" ("), complexity_label(complexity_value), F.lit(")"))
     share = F.when(F.lit(overlay) & (ratio > 0), format_percent(ratio * 100))
     return shown, share
+
+
+def complexity_gradient(spark: SparkSession) -> DataFrame:
+    """The legend's stops: score, color, label."""
+    return spark.createDataFrame(GRADIENT, "score int, color string, label string")

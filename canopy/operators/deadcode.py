@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.functions.paths import component_order
 from canopy.operators.graph import NoEntryPoints, entry_points, exports, reachable_symbols, unique_symbols
 
 # fixed values
@@ -36,12 +37,13 @@ def confidence(exported: Column, recent: Column, dynamic: Column, tested: Column
 def tested_symbols(symbols: DataFrame, file_edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Ids of candidates whose name is part of a test symbol's name, or that an exported symbol of a test file has an edge to.
 
-    Names are compared once each. The comparison is a nested loop over distinct names by nature; the hint that picks
-    which side to send is left to the optimizer, which knows their sizes.
+    Test names are cut into their parts of the lengths that names have, so that a name meets its parts by equality.
     """
-    tests = symbols.filter("is_test").select(F.col("name").alias("test_name")).distinct()
     names = candidates.select("name").distinct()
-    by_name = names.join(tests, F.contains("test_name", "name"), "left_semi")
+    lengths = F.array(*[F.lit(r[0]) for r in symbols.select(F.length("name")).distinct().collect() if r[0] is not None]).cast("array<int>")  # as many as names differ in length
+    tests = symbols.filter("is_test AND name IS NOT NULL").select("name").distinct().select("name", F.explode(lengths).alias("n")).filter(F.col("n") <= F.length("name"))
+    parts = tests.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1), lambda at: F.substring("name", at, F.col("n")))).alias("name")).distinct()
+    by_name = names.join(parts, "name", "left_semi")
     sources = symbols.filter("is_test AND is_exported").select("path").distinct()
     led = file_edges.join(sources, file_edges["src_path"] == sources["path"], "left_semi").select(F.col("dst_path").alias("path")).distinct()
     return candidates.join(by_name, "name", "left_semi").select("id").union(exports(symbols).join(led, "path", "left_semi").select("id")).distinct()
@@ -71,6 +73,29 @@ def by_file(dead: DataFrame) -> DataFrame:
     return dead.groupBy("path").agg(F.count_if(F.col("kind").isin(*FUNCTION_KINDS)).alias("dead_function_count"), F.sum("loc").alias("dead_code_loc"), F.count(F.lit(1)).alias("n_symbols"))
 
 
+def top_files(dead: DataFrame, n: int = 10) -> DataFrame:
+    """The n files of most dead lines, ties by path component."""
+    return by_file(dead).orderBy(F.desc("dead_code_loc"), component_order(F.col("path"))).limit(n)
+
+
+def confident(dead: DataFrame, least: int) -> DataFrame:
+    """Symbols at or above a confidence from 0 to 100."""
+    if not 0 <= least <= 100:
+        raise ValueError("confidence must be from 0 to 100")
+    return dead.filter(F.col("confidence") >= least)
+
+
+def by_confidence(dead: DataFrame) -> DataFrame:
+    """Each file's dead symbols with rank, the surest first, ties by line and name. A file is one window."""
+    return dead.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("confidence"), "line_start", "line_end", "symbol")).cast("long"))
+
+
+def share_of_files(dead: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: n_files, files_with_dead_code, share (in percent; 0 without files)."""
+    n = files.agg(F.count_distinct("path").alias("n_files")).crossJoin(dead.agg(F.count_distinct("path").alias("files_with_dead_code")))  # one row each
+    return n.withColumn("share", F.when(F.col("n_files") > 0, F.col("files_with_dead_code") / F.col("n_files") * 100).otherwise(0.0))
+
+
 def nested_by_file(dead: DataFrame) -> DataFrame:
     """path and its dead symbols as an array, by line."""
     return dead.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_start", "line_end", "symbol", "kind", "loc", "confidence", "reason"))).alias("dead_code"))

@@ -90,12 +90,12 @@ def walk_in_one_task(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.mapInPandas(walk, "path string")
 
 
-def reachable_files(starts: DataFrame, file_edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """Files from which edges count: starts, and all that edges lead to.
+def reachable_files(starts: DataFrame, file_edges: DataFrame, one_task: int = ONE_TASK_EDGES, whole: bool = False) -> DataFrame:
+    """Files from which edges count: starts, and all that edges lead to. whole: file_edges are distinct, without nulls, and a written table.
 
     Up to one_task edges are walked in a task. Beyond, a frontier a round is joined, each cut by a written table; rounds are bounded by the graph's diameter.
     """
-    edges = cut(file_edges.select("src_path", "dst_path").filter("src_path is not null and dst_path is not null").distinct())
+    edges = file_edges if whole else cut(file_edges.select("src_path", "dst_path").filter("src_path is not null and dst_path is not null").distinct())
     begun = starts.select("path").distinct()
     if edges.count() <= one_task:
         return begun.union(walk_in_one_task(begun, edges)).distinct()
@@ -112,8 +112,9 @@ def reachable_files(starts: DataFrame, file_edges: DataFrame, one_task: int = ON
 def reachable_symbols(symbols: DataFrame, file_edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Ids reached from entries. All symbols of a file share their edges, so files are traversed: a symbol is reached if it is an entry, or is exported from a file that an edge of a reached file leads to."""
     targets = exports(symbols).select(F.col("path").alias("dst_path")).distinct()
-    edges = file_edges.select("src_path", "dst_path").join(targets, "dst_path", "left_semi")
-    reached = reachable_files(entries.select("path"), edges)
+    # both the walk and what it leads to read the edges
+    edges = cut(file_edges.select("src_path", "dst_path").filter("src_path is not null").distinct().join(targets, "dst_path", "left_semi").select("src_path", "dst_path"))
+    reached = reachable_files(entries.select("path"), edges, whole=True)
     led = edges.join(reached, edges["src_path"] == reached["path"], "left_semi").select(F.col("dst_path").alias("path")).distinct()
     return entries.select("id").union(exports(symbols).join(led, "path", "left_semi").select("id")).distinct()
 

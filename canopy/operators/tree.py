@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.paths import ancestors, component_order, file_name, parent
@@ -13,7 +15,7 @@ from canopy.plans.work import cut
 def directories(files: DataFrame) -> DataFrame:
     """path, loc, n_files, last_modified of every folder above files(path, loc[, last_modified]); the root is ''. One shuffle, combined before it, no recursion."""
     changed = F.col("last_modified") if "last_modified" in files.columns else F.lit(None).cast("timestamp")
-    up = files.select("loc", changed.alias("last_modified"), F.lit(1).alias("one"), F.explode(F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("path")), lambda x: x.isNotNull()))).alias("path"))
+    up = files.select("loc", changed.alias("last_modified"), F.lit(1).alias("one"), F.explode(F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("path")), lambda x: x != ""))).alias("path"))
     # the root is there without files too
     up = up.union(files.sparkSession.range(1).select(F.lit(0).cast("long"), F.lit(None).cast("timestamp"), F.lit(0), F.lit("")))
     return up.groupBy("path").agg(F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.sum("one").alias("n_files"), F.max("last_modified").alias("last_modified"))
@@ -86,20 +88,45 @@ def flattened(tree: DataFrame) -> DataFrame:
 
 
 def numbered(tree: DataFrame) -> DataFrame:
-    """Nodes with `at`, their place in page order from 1. Ranges of the order are sorted apart and each starts where the one before ends, so that no task has all nodes."""
-    key = page_key(F.col("path"), F.col("type"))
+    """Nodes with `at`, their place in page order from 1."""
+    return in_places(tree, page_key(F.col("path"), F.col("type")))
+
+
+def in_places(rows: DataFrame, key: Column) -> DataFrame:
+    """rows with `at`, their place from 1 in the order of a key. Ranges of the order are sorted apart and each starts where the one before ends, so that no task has all rows."""
     # the id is the range's number and, in the lower 33 bits, the place in it
-    ranged = cut(tree.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     ends, before = [], 0
     for r in sorted(ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
         ends.append((r["part"], before))
         before += r["n"]
-    starts = tree.sparkSession.createDataFrame(ends, "_part long, _before long")
+    starts = rows.sparkSession.createDataFrame(ends, "_part long, _before long")
     placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
     return placed.withColumn("at", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_before")
 
 
+def selected(tree: DataFrame, path: str, report: DataFrame) -> DataFrame:
+    """The node at a path with what a report says of it (nulls: nothing)."""
+    return tree.filter(F.col("path") == path).join(report, "path", "left")
+
+
+def ring_order(tree: DataFrame) -> DataFrame:
+    """Nodes below the root with rank, their place among their siblings: by lines, the largest first, ties by name."""
+    siblings = Window.partitionBy("parent_id").orderBy(F.desc("loc"), "name")
+    return tree.filter("parent_id IS NOT NULL").withColumn("rank", F.row_number().over(siblings).cast("long"))
+
+
+_charts: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+
+
+def chart_of(tree: DataFrame) -> DataFrame:
+    """chart_nodes, written once for each tree as long as the tree is held."""
+    if tree not in _charts:
+        _charts[tree] = cut(chart_nodes(tree))
+    return _charts[tree]
+
+
 def visible(tree: DataFrame) -> DataFrame:
     """Nodes that the keyboard reaches: files, and folders that hold something; `flattened` puts them in order."""
     parents = tree.filter("parent_id is not null").select(F.col("parent_id").alias("_held")).distinct()
@@ -131,7 +158,7 @@ def breadcrumb(segments: list[str], to: int | None = None) -> list[str]:
     return segments[:-1] if to is None else segments[: to + 1]
 
 
-__all__ = ["breadcrumb", "chart_nodes", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "lazy_chart", "limited", "nodes", "numbered", "subtree", "visible"]
+__all__ = ["breadcrumb", "chart_nodes", "chart_of", "child_counts", "common_root", "component_order", "directories", "filter_by_path", "find_by_path", "flattened", "in_places", "lazy_chart", "limited", "nodes", "numbered", "ring_order", "selected", "subtree", "visible"]
 
 
 def ancestors_of(tree: DataFrame, path: str) -> DataFrame:

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions import scalars as S
 from canopy.functions.loc import count_lines, loc
-from canopy.functions.paths import excluded, extension, file_name, in_test_folder
+from canopy.functions.paths import WATCHED, component_order, excluded, extension, file_name, in_test_folder, is_entry_file, is_test_file, language
 from canopy.operators import deadcode, diff, graph, metrics, tree, watch_state
 from canopy.operators.parse import imports, parse_files
 from canopy.operators.parse import symbols as parsed_symbols
-from canopy.sinks.reports import csv_table
+from canopy.plans.work import cut
+from canopy.sinks.reports import FINE_TIERS, csv_table, dead_json_table, json_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,10 +148,13 @@ def find_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.find_by_path(document_tree(spark, sf_dir), "/fr/").select("path", "type", "loc")
 
 
-@query("SELECT 'src3' AS root")
+@query("""WITH f AS (SELECT ['data', 'customers', 'n' || (c_nationkey % 1), c_mktsegment] AS folder FROM customer),
+c AS (SELECT i, count(DISTINCT folder[i]) AS n, max(folder[i]) AS part FROM f, range(1, 5) x(i) GROUP BY i)
+SELECT string_agg(part, '/' ORDER BY i) AS root FROM c WHERE i < coalesce((SELECT min(i) FROM c WHERE n > 1), 5) - CASE WHEN (SELECT max(n) FROM c) = 1 THEN 1 ELSE 0 END""")
 def common_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A16"""
-    return tree.common_root(document_files(spark, sf_dir).filter(F.col("path").startswith("src3/")))
+    """Of all customers, some folders deep"""
+    c = read(spark, sf_dir, "customer")
+    return tree.common_root(c.select(F.concat_ws("/", F.lit("data"), F.lit("customers"), F.concat(F.lit("n"), (F.col("c_nationkey") % 1).cast("string")), "c_mktsegment", F.col("c_custkey").cast("string")).alias("path")))
 
 
 @query(f"""WITH {METRICS}, p AS (SELECT split_part(path, '/', 1) AS top, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS folder FROM f)
@@ -179,10 +183,11 @@ def chart_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.visible(document_tree(spark, sf_dir)).select("path", S.chart_label(F.col("name"), F.col("type"), F.col("loc")).alias("label"), color.alias("border"), width.alias("border_width"))
 
 
-@query(f"WITH {TREE} SELECT count(*) FILTER (type = 'file') AS n_files, count(*) FILTER (type = 'file') > 50000 AS lazy FROM nodes")
+@query(f"WITH {TREE} SELECT count(*) FILTER (type = 'file') AS n_files, count(*) FILTER (type = 'file') > 50000 AS lazy FROM nodes UNION ALL SELECT count(*), count(*) > 100 FROM nodes WHERE type = 'file'")
 def lazy_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16"""
-    return tree.lazy_chart(document_tree(spark, sf_dir))
+    """F16: with the fixed limit and with one that is passed"""
+    t = document_tree(spark, sf_dir)
+    return tree.lazy_chart(t).union(tree.lazy_chart(t, above=100))
 
 
 @query(f"""WITH x AS (SELECT p_partkey, p_size * 2.0::DOUBLE AS c, p_size / 50.0 AS r FROM part)
@@ -219,24 +224,25 @@ def format_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", S.iso_timestamp(F.col("o_orderdate")).alias("iso"), S.format_relative_date(F.col("o_orderdate"), F.lit(AS_OF).cast("timestamp")).alias("relative"))
 
 
-def yearly_report(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """A report: customers as files, their orders of a year as lines. The filter reaches the scan."""
-    o = read(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
+def half_report(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """A report: customers as files, their orders before 1997, or from then on, as lines. The filter reaches the scan; both reports have all orders."""
+    since = F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")
+    o = read(spark, sf_dir, "orders").filter(since if new else ~since)
     return o.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.count(F.lit(1)).alias("loc"))
 
 
 REPORTS = """
-o96 AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS loc FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1),
-o97 AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS loc FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1),
+o_old AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS loc FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1),
+o_new AS (SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS loc FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1),
 df AS (SELECT coalesce(a.path, b.path) AS path, a.loc AS old_loc, b.loc AS new_loc, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
-  FROM o96 a FULL JOIN o97 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.loc <> b.loc)
+  FROM o_old a FULL JOIN o_new b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.loc <> b.loc)
 """
 
 
 @query(f"WITH {REPORTS} SELECT * FROM df")
 def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 D4"""
-    return diff.report_diff(yearly_report(spark, sf_dir, 1996), yearly_report(spark, sf_dir, 1997))
+    return diff.report_diff(half_report(spark, sf_dir, False), half_report(spark, sf_dir, True))
 
 
 @query(f"""WITH {REPORTS}, g AS (SELECT path, new_loc - old_loc AS d FROM df WHERE status = 'modified' AND new_loc > old_loc ORDER BY d DESC, path LIMIT 1)
@@ -244,15 +250,15 @@ SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE
  CAST(sum(coalesce(new_loc, 0) - coalesce(old_loc, 0)) AS BIGINT) AS total_delta, (SELECT path FROM g) AS largest_growth_path, (SELECT d FROM g) AS largest_growth FROM df""")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11 T5"""
-    return diff.diff_summary(diff.report_diff(yearly_report(spark, sf_dir, 1996), yearly_report(spark, sf_dir, 1997)))
+    return diff.diff_summary(diff.report_diff(half_report(spark, sf_dir, False), half_report(spark, sf_dir, True)))
 
 
-@query(f"""WITH {REPORTS}, t AS (SELECT (SELECT CAST(sum(loc) AS BIGINT) FROM o97) AS current_loc, (SELECT CAST(sum(loc) AS BIGINT) FROM o96) AS base_loc)
+@query(f"""WITH {REPORTS}, t AS (SELECT (SELECT CAST(sum(loc) AS BIGINT) FROM o_new) AS current_loc, (SELECT CAST(sum(loc) AS BIGINT) FROM o_old) AS base_loc)
 SELECT current_loc, base_loc, (current_loc - base_loc) / base_loc * 100 AS change_pct, (current_loc - base_loc) / base_loc * 100 > 10.0 AS failed FROM t""")
 def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P23"""
-    total = lambda y: yearly_report(spark, sf_dir, y).agg(F.sum("loc").alias("total_loc"))
-    return metrics.baseline_gate(total(1997), total(1996))
+    total = lambda new: half_report(spark, sf_dir, new).agg(F.sum("loc").alias("total_loc"))
+    return metrics.baseline_gate(total(True), total(False))
 
 
 @query(f"WITH {METRICS} SELECT path, loc FROM fm WHERE loc > 20")
@@ -314,8 +320,9 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dead(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Dead symbols and all symbols; edges are computed once for the walk and the tests' coverage."""
     s = symbols(spark, sf_dir).drop("part")
-    return deadcode.dead_symbols(s, file_edges(spark, sf_dir), F.lit(AS_OF).cast("timestamp")), s
+    return deadcode.dead_symbols(s, cut(file_edges(spark, sf_dir)), F.lit(AS_OF).cast("timestamp")), s
 
 
 @query(f"{WITH_GRAPH} SELECT path, id, symbol, kind, loc, confidence FROM dead")
@@ -327,7 +334,7 @@ def dead_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH_GRAPH} SELECT path, id FROM dead WHERE confidence >= 80")
 def min_confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P20"""
-    return dead(spark, sf_dir)[0].filter("confidence >= 80").select("path", "id")
+    return deadcode.confident(dead(spark, sf_dir)[0], 80).select("path", "id")
 
 
 @query(f"{WITH_GRAPH} SELECT CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM dead GROUP BY 1")
@@ -345,8 +352,7 @@ def dead_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH_GRAPH} SELECT path, CAST(sum(loc) AS BIGINT) AS dead_code_loc FROM dead GROUP BY 1 ORDER BY 2 DESC, string_split(path, '/') LIMIT 10")
 def top_dead_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 T2"""
-    per = deadcode.by_file(dead(spark, sf_dir)[0])
-    return per.orderBy(F.desc("dead_code_loc"), F.split("path", "/")).limit(10).select("path", "dead_code_loc")
+    return deadcode.top_files(dead(spark, sf_dir)[0]).select("path", "dead_code_loc")
 
 
 SUMMARY = "count(DISTINCT path) AS files_with_dead_code, count(*) FILTER (WHERE kind <> 'Class') AS dead_functions, count(*) FILTER (WHERE kind = 'Class') AS dead_classes, CAST(coalesce(sum(loc), 0) AS BIGINT) AS total_dead_loc"
@@ -362,7 +368,8 @@ def dead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
  sum(loc) / (SELECT t FROM w) * ((SELECT t FROM w) / (SELECT sum(line_end - line_start + 1) FROM s)) AS dead_code_ratio FROM dead WHERE confidence >= 80""")
 def filtered_dead_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5 P22"""
-    return deadcode.filtered_summary(*dead(spark, sf_dir), 80)
+    d, s = dead(spark, sf_dir)
+    return deadcode.filtered_summary(cut(d), s, 80)  # read twice
 
 
 @query(f"""{WITH_GRAPH}, fl AS (SELECT path, count(*) * 100 AS loc FROM s GROUP BY 1), b AS (SELECT path, count(*) FILTER (WHERE kind <> 'Class') AS c, CAST(sum(loc) AS BIGINT) AS d FROM dead GROUP BY 1)
@@ -471,7 +478,7 @@ def selected_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selected node and what a report says of its path"""
     t = document_tree(spark, sf_dir)
     report = t.filter("type = 'directory'").select("path", (F.col("loc") * 2).alias("twice"))
-    return t.filter("path = 'src3'").join(report, "path", "left").select("path", "type", "loc", "twice")
+    return tree.selected(t, "src3", report).select("path", "type", "loc", "twice")
 
 
 @query(f"""WITH {TREE}, k AS (SELECT path, type, depth, CASE WHEN path = '' THEN [] WHEN type = 'directory' THEN list_transform(string_split(path, '/'), lambda x: '1' || x) ELSE list_concat(list_transform(string_split(path, '/')[:-2], lambda x: '1' || x), ['0' || string_split(path, '/')[-1]]) END AS key FROM nodes)
@@ -497,8 +504,7 @@ def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TREE} SELECT parent_id, path, row_number() OVER (PARTITION BY parent_id ORDER BY loc DESC, name) AS rank FROM nodes WHERE type = 'directory' AND parent_id IS NOT NULL")
 def ring_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each folder among its siblings"""
-    t = document_tree(spark, sf_dir).filter("type = 'directory' AND parent_id IS NOT NULL")
-    return t.select("parent_id", "path", F.row_number().over(Window.partitionBy("parent_id").orderBy(F.desc("loc"), "name")).cast("long").alias("rank"))
+    return tree.ring_order(document_tree(spark, sf_dir).filter("type = 'directory'")).select("parent_id", "path", "rank")
 
 
 @query("""SELECT p_partkey, printf('%.1f', p_size * 2.0::DOUBLE) || ' (' || CASE WHEN p_size < 15 THEN 'Low' WHEN p_size < 30 THEN 'Medium' WHEN p_size < 40 THEN 'High' ELSE 'Very High' END || ')' AS shown,
@@ -510,6 +516,154 @@ def tooltips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", shown.alias("shown"), share.alias("share"), S.format_percent(size - 25, signed=True).alias("change"), F.replace(S.format_percent(size / 64, 4), F.lit("%"), F.lit("")).alias("ratio"))
 
 
+@query(f"WITH {METRICS} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS at FROM f")
+def files_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's place by path component"""
+    return tree.in_places(document_files(spark, sf_dir).select("path"), component_order(F.col("path"))).select("path", "at")
+
+
+PATHS = ["src/a.test.ts", "src/a.spec.js", "src/__tests__/a.ts", "src/test/a.go", "src/tests/a.cc", "test/a.py", "tests/a.rs", "src/testing/a.hpp", "src/latest/a.h", "src/contest/a.cxx", "src/a.jsx", "lib/a.tsx", "lib/a.c", "lib/index.ts", "src/main.jsx", "src/lib.rs", "src/a.cpp", "src/xmain.ts"]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ({PATHS})[p_partkey % {len(PATHS)} + 1] AS path FROM part), x AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '.')[-1] AS ext FROM p)
+SELECT p_partkey, path, contains(path, '.test.') OR contains(path, '.spec.') OR contains(path, '__tests__') OR contains(path, '/test/') OR contains(path, '/tests/') OR starts_with(path, 'test/') OR starts_with(path, 'tests/') AS in_tests,
+ contains(name, '.test.') OR contains(name, '.spec.') AS test_file, name IN ('main.ts', 'main.tsx', 'main.js', 'main.jsx', 'index.ts', 'index.tsx', 'index.js', 'index.jsx', 'lib.rs') AS entry_file, ext IN ('ts', 'tsx', 'js', 'jsx', 'rs', 'py') AS watched,
+ CASE WHEN ext = 'ts' THEN 'typescript' WHEN ext = 'tsx' THEN 'tsx' WHEN ext IN ('js', 'jsx') THEN 'javascript' WHEN ext = 'rs' THEN 'rust' WHEN ext = 'py' THEN 'python' WHEN ext = 'go' THEN 'go' WHEN ext IN ('cpp', 'cc', 'cxx', 'hpp', 'h') THEN 'cpp' END AS language FROM x""")
+def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 P11 P12 P13 S7"""
+    at = F.col("path")
+    p = read(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, PATHS)), (F.col("p_partkey") % len(PATHS)).cast("int")).alias("path"))
+    return p.select("p_partkey", "path", in_test_folder(at).alias("in_tests"), is_test_file(at).alias("test_file"), is_entry_file(at).alias("entry_file"), extension(at).isin(*WATCHED).alias("watched"), language(at).alias("language"))
+
+
+@query(f"""SELECT o_orderkey || '.py' AS path, CASE WHEN o_orderstatus = 'O' THEN TIMESTAMP '{AS_OF}' ELSE o_orderdate END AS last_modified, CAST(octet_length(encode(o_orderpriority)) AS BIGINT) AS size_bytes FROM orders""")
+def times_or_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file without a time of its own has the run's"""
+    o = read(spark, sf_dir, "orders")
+    files = o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.col("o_orderpriority").alias("content"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("last_modified"))
+    return metrics.file_metrics(files, F.lit(AS_OF).cast("timestamp")).select("path", "last_modified", "size_bytes")
+
+
+CODE = {  # a comment line, a line of code with a comment, a block over two lines, a string that looks like a comment, functions
+    "rs": ("// note\nlet a = 1; // b\n/* c\nd */ let e = 2;\nlet s = \"/* no */\";\n", "fn f() {}\n", 3),
+    "py": ("# note\na = 1  # b\n\n\ns = '# no'\n", "def f():\n    pass\n", 2),
+    "go": ("// note\nvar a = 1 // b\n/* c\nd */ var e = 2\nvar s = \"// no\"\n", "func f() {}\n", 3),
+    "cpp": ("// note\nint a = 1; // b\n/* c\nd */ int e = 2;\nconst char* s = \"// no\";\n", "int f() { return 1; }\n", 3),
+    "js": ("// note\nlet a = 1; // b\n/* c\nd */ let e = 2;\nlet s = `// no`;\n", "const f = () => 1;\n", 3),
+}
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, (['rs', 'py', 'go', 'cpp', 'js'])[p_partkey % 5 + 1] AS ext FROM part)
+SELECT 'p' || p_partkey || '.' || ext AS path, CAST(CASE WHEN ext = 'py' THEN 2 + 2 * (p_size % 7) ELSE 3 + p_size % 7 END AS BIGINT) AS loc, CAST(p_size % 7 AS BIGINT) AS function_count FROM p""")
+def code_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, strings and functions of five languages"""
+    p, kinds = read(spark, sf_dir, "part"), list(CODE)
+    at = (F.col("p_partkey") % len(kinds)).cast("int")
+    pick = lambda k: F.get(F.array(*[F.lit(CODE[x][k]) for x in kinds]), at)
+    files = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("."), F.get(F.array(*map(F.lit, kinds)), at)).alias("path"), F.concat(pick(0), F.repeat(pick(1), F.col("p_size") % 7)).alias("content"))
+    return metrics.file_metrics(parse_files(files, keep=("content",))).select("path", "loc", "function_count")
+
+
+NAMED = ["plain", "x_handler", "Plugin_a", "LOADER_x", "a_Middleware", "hook_", "hooked", "my_hook"]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, ({NAMED})[p_partkey % {len(NAMED)} + 1] AS symbol, p_retailprice < 950 AS exported, p_partkey % 3 = 0 AS tested FROM part)
+SELECT 'src/f' || p_size || '.ts' AS path, p_partkey AS line_start, symbol, 'Unreachable from entry points' AS reason, CAST(p_size + 1 AS BIGINT) AS loc,
+ CAST(greatest(0, 100 - CASE WHEN exported THEN 30 ELSE 0 END - CASE WHEN p_size BETWEEN 1 AND 29 THEN 20 ELSE 0 END - CASE WHEN symbol IN ('x_handler', 'Plugin_a', 'LOADER_x', 'a_Middleware', 'hook_', 'my_hook') THEN 25 ELSE 0 END - CASE WHEN tested THEN 15 ELSE 0 END) AS INT) AS confidence FROM p""")
+def confidence_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files changed p_size days ago, in the future for size 50 and more"""
+    p = read(spark, sf_dir, "part")
+    name = F.get(F.array(*map(F.lit, NAMED)), (F.col("p_partkey") % len(NAMED)).cast("int"))
+    at = F.concat(F.lit("src/f"), F.col("p_size").cast("string"), F.lit(".ts"))
+    found = p.select(at.alias("path"), F.col("p_partkey").cast("string").alias("id"), name.alias("name"), F.lit("Function").alias("kind"), F.col("p_partkey").alias("line_start"), (F.col("p_partkey") + F.col("p_size")).alias("line_end"), (F.col("p_retailprice") < 950).alias("is_exported"))
+    as_of = F.lit(AS_OF).cast("timestamp")
+    modified = p.select(at.alias("path"), "p_size").distinct().select("path", F.timestamp_seconds(F.unix_seconds(as_of) - F.when(F.col("p_size") < 50, F.col("p_size")).otherwise(-1) * 86400).alias("last_modified"))
+    tested = found.filter("line_start % 3 = 0").select("id")
+    return deadcode.scored(found, tested, as_of, modified).select("path", "line_start", "symbol", "reason", "loc", "confidence")
+
+
+@query(f"{WITH_GRAPH} SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, line_start, line_end, symbol) AS rank FROM dead")
+def symbols_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's dead symbols, the surest first"""
+    return deadcode.by_confidence(dead(spark, sf_dir)[0]).select("path", "id", "rank")
+
+
+@query(f"{WITH_GRAPH} SELECT path, string_agg(symbol || ':' || line_start, ',' ORDER BY line_start, line_end, symbol) AS found FROM dead GROUP BY path")
+def nested_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4"""
+    n = deadcode.nested_by_file(dead(spark, sf_dir)[0])
+    return n.select("path", F.array_join(F.transform("dead_code", lambda d: F.concat_ws(":", d["symbol"], d["line_start"].cast("string"))), ",").alias("found"))
+
+
+@query(f"""{WITH_GRAPH} SELECT path, '{{"path":"' || path || '","deadCode":[' || string_agg(printf('{{"symbol":"%s","kind":"%s","lineStart":%d,"lineEnd":%d,"loc":%d,"confidence":%d,"reason":"Unreachable from entry points"}}', symbol, kind, line_start, line_end, loc, confidence), ',' ORDER BY line_start, line_end, symbol) || ']}}' AS json FROM dead GROUP BY path""")
+def dead_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the objects of the JSON report on dead code"""
+    return dead_json_table(dead(spark, sf_dir)[0])
+
+
+@query(f"""WITH {METRICS} SELECT path, '{{"path":"' || path || '","loc":' || loc || ',"size_bytes":' || size_bytes || ',"function_count":0}}' AS json FROM fm""")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 K2: the objects of the JSON report"""
+    return json_table(document_metrics(spark, sf_dir))
+
+
+@query(f"""{WITH_GRAPH}, x AS (SELECT (SELECT count(DISTINCT path) FROM s) AS n_files, (SELECT count(DISTINCT path) FROM dead) AS files_with_dead_code) SELECT *, files_with_dead_code / n_files * 100 AS share, printf('%.1f%%', files_with_dead_code / n_files * 100) AS shown FROM x""")
+def dead_file_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 K7"""
+    return deadcode.share_of_files(*dead(spark, sf_dir)).withColumn("shown", S.format_percent(F.col("share")))
+
+
+@query(f"{WITH_GRAPH} SELECT CASE WHEN confidence >= 90 THEN 'high' WHEN confidence >= 70 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM dead GROUP BY 1")
+def fine_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers of the second text report"""
+    return dead(spark, sf_dir)[0].groupBy(deadcode.tier(F.col("confidence"), *FINE_TIERS).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WITH_GRAPH} SELECT count(*) FILTER (WHERE kind <> 'Class') AS dead_functions FROM dead WHERE confidence >= 80 HAVING count(*) FILTER (WHERE kind <> 'Class') > 10")
+def dead_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's row, if it breaks the rule"""
+    return deadcode.summary_gate(deadcode.filtered_summary(*dead(spark, sf_dir), 80), ["dead_functions=10"]).select("dead_functions")
+
+
+@query("SELECT kind, fits, long_label, short_label FROM (VALUES ('Function', 'Function', 'fn'), ('ArrowFunction', 'Arrow Function', '=>'), ('Class', 'Class', 'class'), ('Method', 'Method', 'method')) l(kind, long_label, short_label) JOIN (SELECT CASE WHEN p_size < 20 THEN 'Function' WHEN p_size < 30 THEN 'ArrowFunction' WHEN p_size < 40 THEN 'Class' ELSE 'Method' END AS kind, count(*) AS fits FROM part GROUP BY 1) USING (kind)")
+def kind_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11"""
+    k = symbols(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("fits"))
+    return k.select("kind", "fits", S.kind_label(F.col("kind"), S.KIND_LONG).alias("long_label"), S.kind_label(F.col("kind")).alias("short_label"))
+
+
+@query("SELECT * FROM (VALUES (0, '#22c55e', 'Low'), (15, '#84cc16', ''), (30, '#eab308', 'Medium'), (45, '#f59e0b', ''), (60, '#ef4444', 'High'), (80, '#dc2626', ''), (100, '#dc2626', 'Very High')) g(score, color, label)")
+def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7"""
+    return S.complexity_gradient(spark)
+
+
+@query("SELECT user_id AS id, event_type AS name, event_id AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def last_of_each_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of symbols with one id the last one stays"""
+    return graph.unique_symbols(read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.col("event_id").alias("ordinal")))
+
+
+@query(f"""WITH {METRICS} SELECT count(*) AS total_files, CAST(sum(loc + CASE WHEN split_part(path, '/', 2) = 'de' THEN 1 ELSE 0 END) AS BIGINT) AS total_loc, CAST(0 AS BIGINT) AS total_functions FROM fm WHERE split_part(path, '/', 2) <> 'fr'""")
+def changed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary after some files changed and some went"""
+    state, lang = document_metrics(spark, sf_dir), F.element_at(F.split("path", "/"), 2)
+    return metrics.summary(watch_state.upsert(state, state.filter(lang == "de").withColumn("loc", F.col("loc") + 1), state.filter(lang == "fr").select("path")))
+
+
+@query("SELECT 'no entry points' AS said, count(*) FILTER (p_type <> 'SMALL') > 0 AS failed, CAST(0 AS BIGINT) AS dead_in_nothing FROM part")
+def without_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols without an entry point are an error, no symbols are none"""
+    s, edges, now = symbols(spark, sf_dir).drop("part"), file_edges(spark, sf_dir), F.lit(AS_OF).cast("timestamp")
+    try:
+        deadcode.dead_symbols(s.filter("NOT is_test"), edges, now)
+        said = None
+    except graph.NoEntryPoints as e:
+        said = str(e)
+    nothing = deadcode.dead_summary(deadcode.dead_symbols(s.limit(0), edges, now), s.limit(0))
+    return nothing.select(F.lit("no entry points").alias("said"), F.lit(said == "no entry points").alias("failed"), F.col("total_dead_loc").alias("dead_in_nothing"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dir_rollup(spark, sf_dir)
 

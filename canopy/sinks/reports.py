@@ -87,6 +87,19 @@ def csv_table(metrics: DataFrame) -> DataFrame:
         [F.coalesce("dead_function_count", F.lit(0)).alias("dead_functions"), F.coalesce("dead_code_loc", F.lit(0)).alias("dead_loc"), F.round(F.coalesce("dead_code_ratio", F.lit(0.0)), 4).alias("dead_code_ratio")] if "dead_code_ratio" in metrics.columns else []))
 
 
+def json_table(metrics: DataFrame) -> DataFrame:
+    """path and the file's JSON object as the report has it, for reports too long for one file. Null fields are left out."""
+    fields = [f for f in (*FILE_FIELDS, *DEAD_FIELDS) if f in metrics.columns]
+    return metrics.select("path", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def dead_json_table(dead: DataFrame) -> DataFrame:
+    """path and the file's JSON object of the report on dead code."""
+    found = F.transform("dead_code", lambda d: F.struct(*[d[c].alias(_camel(c)) for c in ("symbol", "kind", "line_start", "line_end", "loc", "confidence", "reason")]))
+    return deadcode.nested_by_file(dead).select("path", F.to_json(F.struct("path", found.alias("deadCode"))).alias("json"))
+
+
+# fixed values: the headings and line shapes of the text reports below are a format
 def text_report(metrics: DataFrame, summary: DataFrame) -> Iterator[str]:
     s = summary.first()
     yield f"Code Analysis Summary\n=====================\nTotal Files: {s['total_files']}\nTotal LOC:   {s['total_loc']}\nFunctions:   {s['total_functions']}\n\nLargest Files:\n"

@@ -79,6 +79,24 @@ def ignored(rel: str, is_folder: bool, rules: list[Rule]) -> bool:
     return False
 
 
+def user_rules() -> list[Rule]:
+    """The rules of the user's own ignore file: the one that git's configuration names, or git/ignore in the configuration folder."""
+    base = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    path = os.path.join(base, "git", "ignore")
+    for config in (os.path.join(base, "git", "config"), os.path.join(os.path.expanduser("~"), ".gitconfig")):
+        try:
+            with open(config, encoding="utf-8", errors="replace") as f:
+                said = re.findall(r"(?ims)^\s*\[core\]\s*$(?:(?!^\s*\[).)*?^\s*excludesfile\s*=\s*\"?([^\"\n]+)", f.read())
+        except OSError:
+            continue
+        path = os.path.expanduser(said[-1].strip()) if said else path
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return [r for line in f if (r := ignore_rule(line))]
+    except OSError:
+        return []
+
+
 def folder_rules(root: str, rel: str) -> list[Rule]:
     """The rules that a folder's own ignore files hold."""
     out: list[Rule] = []
@@ -129,14 +147,14 @@ def checked_root(root: str) -> str:
 def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None, spread: int = 256, extensions: tuple[str, ...] | None = EXTENSIONS) -> DataFrame:
     """path, rel_path, size_bytes, last_modified of the files under a folder that driver and executors both see.
 
-    The driver lists folders level by level until it holds `spread` of them; tasks walk those. Ignore files (nested ones too, and
-    .git/info/exclude) count, a git repository or not. Globs of `exclude` are matched to the path below the root. Files over
+    The driver lists folders level by level until it holds `spread` of them; tasks walk those. Ignore files (nested ones too,
+    .git/info/exclude and the user's own) count, a git repository or not. Globs of `exclude` are matched to the path below the root. Files over
     MAX_BYTES and of other extensions are left out. An invalid glob raises ValueError, a missing root FileNotFoundError.
     """
     root = checked_root(root)
     for g in exclude or []:
         glob_to_regex(g)
-    found, work = [], [("", [])]
+    found, work = [], [("", user_rules())]
     while work and len(work) < spread:
         below = []
         for rel, rules in work:

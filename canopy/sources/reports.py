@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 FILE = "path string, language string, loc long, size_bytes long, function_count long, last_modified string, dead_function_count long, dead_code_loc long, dead_code_ratio double"
 REPORT = f"summary struct<total_files:long,total_loc:long,total_functions:long,largest_files:array<string>>, files array<struct<{FILE.replace(' ', ':').replace(',:', ',')}>>, timestamp string"
 CONFIG_NAME = ".canopy.toml"
-CONFIG_TEMPLATE = """# canopy configuration
+CONFIG_TEMPLATE = """# What `python -m canopy` takes when an option is not given. Take the # off a line to set it.
 
 [analysis]
-# exclude = ["node_modules/**", "target/**", "dist/**"]
+# globs below the root that are passed over
+# exclude = ["vendor/**", "**/*.min.js"]
 
 [output]
-# format = "text"
+# one of: text, json, csv
+# format = "json"
 
 [cache]
-# enabled = true
+# whether parsed files are kept between runs
+# enabled = false
 """
 MAX_COMMITS = 100
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -15,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from canopy.functions.paths import WATCHED
 from canopy.operators import metrics, watch_state
 from canopy.plans.analysis import analyze, measured
-from canopy.plans.work import shared_dir
+from canopy.plans.work import remove, store, work_path
 from canopy.sinks.reports import json_report
 from canopy.sources.files import LISTED, checked_root, list_files, read_contents
 
@@ -26,11 +25,12 @@ Report = Callable[[DataFrame, DataFrame], None]
 
 
 class Poller:
-    """Compares a tree with what it was at the last poll; records of changes go to a folder of JSON files, each file at once."""
+    """Compares a tree with what it was at the last poll; records of changes go to a folder of JSON files in any store, each file at once."""
 
     def __init__(self, spark: SparkSession, root: str, feed: str) -> None:
         self.spark, self.root, self.feed, self.n = spark, checked_root(root), feed, 0
-        os.makedirs(feed, exist_ok=True)
+        at, fs = store(spark, feed)
+        fs.mkdirs(at)
         self.seen = self._state()
 
     def _state(self) -> dict[str, tuple[datetime, int]]:
@@ -42,15 +42,17 @@ class Poller:
         changed = [(p, True) for p in now if now[p] != self.seen.get(p)] + [(p, False) for p in self.seen if p not in now]
         self.seen = now
         if changed:
-            stamp = datetime.now(UTC).isoformat()
-            part = os.path.join(self.feed, f"_{self.n:08d}.part")
-            with open(part, "w", encoding="utf-8") as f:
-                for path, exists in sorted(changed):
-                    record = {"ts": stamp, "path": path, "exists": exists}
-                    if exists:
-                        record |= {"size_bytes": now[path][1], "last_modified": now[path][0].isoformat()}
-                    f.write(json.dumps(record) + "\n")
-            os.rename(part, os.path.join(self.feed, f"changes-{time.time_ns()}-{self.n:08d}.json"))
+            stamp, lines = datetime.now(UTC).isoformat(), []
+            for path, exists in sorted(changed):
+                record = {"ts": stamp, "path": path, "exists": exists}
+                if exists:
+                    record |= {"size_bytes": now[path][1], "last_modified": now[path][0].isoformat()}
+                lines.append(json.dumps(record) + "\n")
+            part, fs = store(self.spark, f"{self.feed}/_{self.n:08d}.part")  # names that start with _ are not read
+            out = fs.create(part, True)
+            out.write(bytearray("".join(lines).encode()))
+            out.close()
+            fs.rename(part, store(self.spark, f"{self.feed}/changes-{time.time_ns()}-{self.n:08d}.json")[0])
             self.n += 1
         return len(changed)
 
@@ -64,23 +66,13 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     return watch_state.upsert(state, fresh, gone), fresh.select("path", F.lit("updated").alias("change")).union(gone.select("path", F.lit("removed").alias("change")))
 
 
-def _store(spark: SparkSession, path: str) -> tuple:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def states(spark: SparkSession, work: str) -> list[int]:
     """The numbers of the whole states under a folder, in order."""
-    at, fs = _store(spark, work)
+    at, fs = store(spark, work)
     done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "state-*/_SUCCESS")) or []
     return sorted(int(s.getPath().getParent().getName().removeprefix("state-")) for s in done)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    at, fs = _store(spark, path)
-    fs.delete(at, True)
-
-
 def start(spark: SparkSession, initial: DataFrame, feed: str, work: str, report: Report, once: bool = False) -> StreamingQuery:
     """Folds the feed into `initial`. Each batch with a change writes the next state under `work` and calls report(changes, state).
 
@@ -106,7 +98,7 @@ def start(spark: SparkSession, initial: DataFrame, feed: str, work: str, report:
             after.select(*schema.names).write.mode("overwrite").parquet(f"{work}/state-{n}")
             report(found, spark.read.schema(schema).parquet(f"{work}/state-{n}"))
             for old in before[:-1]:
-                drop(spark, f"{work}/state-{old}")
+                remove(spark, f"{work}/state-{old}")
         finally:
             batch.unpersist()
 
@@ -131,8 +123,8 @@ def watch_tree(spark: SparkSession, root: str, as_json: bool = False, rounds: in
         s = metrics.summary(state).first()
         print(f"{s['total_files']} files, {s['total_loc']} LOC, {s['total_functions']} functions", flush=True)
 
-    work = f"{shared_dir(spark)}/canopy-{spark.sparkContext.applicationId}/watch-{time.time_ns()}"
-    feed = os.path.join(work.removeprefix("file://"), "feed")
+    work = work_path(spark, "watch")
+    feed = f"{work}/feed"
     poller = Poller(spark, root, feed)
     initial = analyze(spark, root).metrics
     report(spark.createDataFrame([], "path string, change string"), initial)
