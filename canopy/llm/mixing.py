@@ -13,6 +13,7 @@ or recomputed task, gives the same topics. What the driver holds of them is TOPI
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ ROUNDS, CLOSE = 200, 1e-9
 #: Factors that one pass over a large table of cells tries.
 TRIES = 64
 NULL = "\x00null"
+#: Bytes of a text that are split at a time.
+PIECE, SPACE = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 Targets = dict[str, dict[str | None, float]]
 
 
@@ -52,14 +55,27 @@ class Places(dict):
         return at
 
 
-def vector(words: list[bytes], places: Places) -> np.ndarray:
-    """Signed counts of hashed long words (LONG_WORD characters or more), square-rooted, of norm SCALE; zeros without such words."""
-    at = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
-    n = np.bincount(at[at >= 0], minlength=2 * DIM).reshape(DIM, 2)
-    raw = (n[:, 0] - n[:, 1]).astype(float)
+def read_words(text: str | None) -> Iterator[list[bytes]]:
+    """A text's words `[^\\x20\\x09-\\x0D]+` (bytes split at just these characters), a piece of the text at a time, so that memory stays bounded."""
+    data, at = (text or "").encode("utf-8", "replace"), 0
+    while at < len(data):
+        gap = SPACE.search(data, at + PIECE) if len(data) - at > PIECE else None
+        end = gap.start() if gap else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def measure(text: str | None, places: Places) -> tuple[int, np.ndarray]:
+    """Words, and the vector of signed counts of hashed long words (LONG_WORD characters or more), square-rooted, of norm SCALE; zeros without such words."""
+    tokens, n = 0, np.zeros(2 * DIM, dtype=np.int64)
+    for words in read_words(text):
+        tokens += len(words)
+        at = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
+        n += np.bincount(at[at >= 0], minlength=2 * DIM)
+    raw = (n[0::2] - n[1::2]).astype(float)
     raw = np.sign(raw) * np.sqrt(np.abs(raw))
     norm = np.sqrt((raw * raw).sum())
-    return np.rint(raw * (SCALE / norm)).astype("<i2") if norm else np.zeros(DIM, dtype="<i2")
+    return tokens, np.rint(raw * (SCALE / norm)).astype("<i2") if norm else np.zeros(DIM, dtype="<i2")
 
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -74,11 +90,12 @@ def described(docs: DataFrame, keep: list[str], tokens: str, extra: str, centroi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = Places()
         for b in batches:
-            split = [(t or "").encode("utf-8", "replace").split() for t in b[text]]  # bytes split at just these characters
-            vectors = np.array([vector(w, places) for w in split], dtype="<i2").reshape(len(b), DIM)
+            counts, found = np.zeros(len(b), dtype=np.int64), np.zeros((len(b), DIM), dtype="<i2")
+            for i, t in enumerate(b[text]):  # one text's words at a time
+                counts[i], found[i] = measure(t, places)
             out = b[keep].copy()
-            out[tokens] = np.fromiter(map(len, split), dtype=np.int64, count=len(b))
-            out[extra] = [v.tobytes() for v in vectors] if centroids is None else nearest(vectors, centroids).astype(np.int32)
+            out[tokens] = counts
+            out[extra] = [v.tobytes() for v in found] if centroids is None else nearest(found, centroids).astype(np.int32)
             yield out
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))

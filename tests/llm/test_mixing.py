@@ -111,3 +111,11 @@ def test_tokens_are_the_contracts_words_and_columns_stay(spark, docs, rows, none
     assert M.mix(odd).columns.count("weight") == 1
     assert M.mix(M.describe(none)).count() == 0
     assert M.vectors(spark.createDataFrame([(1, "nb sp one two\x1cthree")], "doc_id long, text string"), []).first()["tokens"] == 2
+
+
+def test_long_texts_are_read_in_pieces():
+    r = random.Random(1)
+    long = "".join(r.choice(["word", "größer", "x" * 40, " ", "\n", "\t ", "\xa0"]) for _ in range(700_000))
+    want = re.findall(rb"[^\x20\x09-\x0D]+", long.encode())
+    assert len(long) > 3 * M.PIECE and [w for piece in M.read_words(long) for w in piece] == want and M.measure(long, M.Places())[0] == len(want)
+    assert list(M.read_words(None)) == list(M.read_words("")) == []
