@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import free_name, free_names, held, stage, table, words
+from canopy.llm.common import free_name, free_names, held, stage, table
 from canopy.llm.decontamination import find_leaks
 from canopy.llm.jaccard_join import link
-from canopy.llm.mixing import describe_both, mix
+from canopy.llm.mixing import fit_topics, mix, vectors, with_topic
 from canopy.llm.quality_classifier import fit, score
 from canopy.llm.sharding import shard
 
@@ -65,14 +65,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture draws, over source, language and topic: docs' own column topic, if there is one, and else a fitted one.
 
     Null and empty texts are drawn by the probability of their cell, repeated rows together; columns of any name stay as they are; no rows give no rows.
+    The draw needs no texts: only texts that may be among the dropped ones move.
     """
-    topic, tokens, *names = free_names(docs, "topic", "tokens", "weight", "probability", "selected")
-    if topic == "topic":
-        described, narrow = describe_both(docs, ["source", "lang"], topic, tokens)
-    else:
-        described, narrow, topic = docs.withColumn(tokens, F.size(words(F.col("text"))).cast("long")), None, "topic"
-    drawn = mix(described, budget_share=MIX_BUDGET, dims=("source", "lang", topic), tokens=tokens, names=tuple(names), narrow=narrow)
-    return drawn.filter(F.col(names[2])).select(*own(docs))
+    same = ["doc_id", "source", "lang"] + (["topic"] if "topic" in docs.columns else [])
+    text_key, = free_names(docs, "text_key")
+    rows = stage(vectors(docs.withColumn(text_key, F.xxhash64("text")), [*same, text_key]), "vectors")
+    narrow = rows.drop("vector") if "topic" in same else with_topic(rows, fit_topics(rows))
+    left = stage(mix(narrow, budget_share=MIX_BUDGET).filter("not selected").select(*same, text_key).distinct(), "left")
+    key = lambda text: F.xxhash64(text, *[x for c in same for x in (F.col(c), F.col(c).isNull())])
+    may, stays = held(docs, key(F.xxhash64("text")), left.select(key(F.col(text_key)).alias("k")))
+    on = F.xxhash64(may["text"]) == left[text_key]
+    for c in same:
+        on = on & may[c].eqNullSafe(left[c])
+    return stays.unionByName(may.join(left, on, "left_anti")).select(*own(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
