@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,27 +49,27 @@ class Places(dict):
     """A word's place in a vector, times two, plus one if it counts down; -1 for short words. Forgets all when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         low = word.decode("utf-8", "replace").lower()
         self[word] = at = zlib.crc32(low.encode()) % (2 * DIM) if len(low) >= LONG_WORD else -1
         return at
 
 
-def read_words(text: str | None) -> Iterator[list[bytes]]:
-    """A text's words `[^\\x20\\x09-\\x0D]+` (bytes split at just these characters), a piece of the text at a time, so that memory stays bounded."""
-    data, at = (text or "").encode("utf-8", "replace"), 0
+def read_words(data: bytes | pa.Buffer) -> Iterator[list[bytes]]:
+    """A text's words `[^\\x20\\x09-\\x0D]+`, of its UTF-8 bytes (split at just these characters), a piece of the text at a time, so that memory stays bounded."""
+    data, at = memoryview(data), 0
     while at < len(data):
         gap = SPACE.search(data, at + PIECE) if len(data) - at > PIECE else None
         end = gap.start() if gap else len(data)
-        yield data[at:end].split()
+        yield bytes(data[at:end]).split()
         at = end
 
 
-def measure(text: str | None, places: Places) -> tuple[int, np.ndarray]:
+def measure(data: bytes | pa.Buffer, places: Places) -> tuple[int, np.ndarray]:
     """Words, and the vector of signed counts of hashed long words (LONG_WORD characters or more), square-rooted, of norm SCALE; zeros without such words."""
     tokens, n = 0, np.zeros(2 * DIM, dtype=np.int64)
-    for words in read_words(text):
+    for words in read_words(data):
         tokens += len(words)
         at = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
         n += np.bincount(at[at >= 0], minlength=2 * DIM)
@@ -87,20 +88,19 @@ def described(docs: DataFrame, keep: list[str], tokens: str, extra: str, centroi
     """The columns keep of docs with tokens (words `[^\\x20\\x09-\\x0D]+` of the text, none for null), and as extra the vector, or with centroids the topic."""
     text = free_name(docs, "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for b in batches:
             counts, found = np.zeros(len(b), dtype=np.int64), np.zeros((len(b), DIM), dtype="<i2")
-            for i, t in enumerate(b[text]):  # one text's words at a time
-                counts[i], found[i] = measure(t, places)
-            out = b[keep].copy()
-            out[tokens] = counts
-            out[extra] = [v.tobytes() for v in found] if centroids is None else nearest(found, centroids).astype(np.int32)
-            yield out
+            for i, t in enumerate(b.column(len(keep))):  # one text's words at a time, read where Arrow holds them
+                if t.is_valid:
+                    counts[i], found[i] = measure(t.as_buffer(), places)
+            more = pa.array([v.tobytes() for v in found], pa.binary()) if centroids is None else pa.array(nearest(found, centroids).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(counts), more], [*keep, tokens, extra])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))
     kind = T.BinaryType() if centroids is None else T.IntegerType()
-    return rows.mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(tokens, T.LongType()), T.StructField(extra, kind)]))
+    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(tokens, T.LongType()), T.StructField(extra, kind)]))
 
 
 def vectors(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def vectors(docs: DataFrame, keep: list[str]) -> DataFrame:
     return described(docs, keep, "tokens", "vector", None)
 
 
-def numbers(column: pd.Series) -> np.ndarray:
+def numbers(column: pd.Series | list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<i2").reshape(len(column), DIM).astype(np.int64)
 
 
@@ -165,12 +165,14 @@ def fit_topics(rows: DataFrame, k: int = TOPICS, rounds: int = FIT_ROUNDS) -> np
 def with_topic(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """rows with topic (a number) instead of vector."""
     others = [f for f in rows.schema if f.name != "vector"]
+    names = [f.name for f in others]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.drop(columns="vector").assign(topic=nearest(numbers(b["vector"]), centroids).astype(np.int32))
+            topic = nearest(numbers(b.column(len(names)).to_pylist()), centroids).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(topic)], [*names, "topic"])
 
-    return rows.mapInPandas(run, T.StructType([*others, T.StructField("topic", T.IntegerType())]))
+    return rows.select(*[F.col(f"`{n}`") for n in names], "vector").mapInArrow(run, T.StructType([*others, T.StructField("topic", T.IntegerType())]))
 
 
 def describe_both(docs: DataFrame, keep: list[str], topic: str = "topic", tokens: str = "tokens", k: int = TOPICS) -> tuple[DataFrame, DataFrame]:

@@ -117,5 +117,11 @@ def test_long_texts_are_read_in_pieces():
     r = random.Random(1)
     long = "".join(r.choice(["word", "größer", "x" * 40, " ", "\n", "\t ", "\xa0"]) for _ in range(700_000))
     want = re.findall(rb"[^\x20\x09-\x0D]+", long.encode())
-    assert len(long) > 3 * M.PIECE and [w for piece in M.read_words(long) for w in piece] == want and M.measure(long, M.Places())[0] == len(want)
-    assert list(M.read_words(None)) == list(M.read_words("")) == []
+    assert len(long) > 3 * M.PIECE and [w for piece in M.read_words(long.encode()) for w in piece] == want and M.measure(long.encode(), M.Places())[0] == len(want)
+    assert list(M.read_words(b"")) == []
+
+
+def test_large_ids_beside_null_ones_stay_exact(spark):
+    ids = [(1 << 60) + 1, None, -(1 << 62) - 3, (1 << 53) + 1]
+    docs = spark.createDataFrame([(i, "some longer words here", "s", "en") for i in ids], "doc_id long, text string, source string, lang string").coalesce(1)
+    assert sorted((r["doc_id"] for r in M.describe(docs).collect()), key=repr) == sorted(ids, key=repr)
