@@ -15,10 +15,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ class Vocabulary(dict):
     """Token to number; others by their form. What it learns of others is forgotten when it grows too large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             for t in [t for t, i in self.items() if i < len(FORMS)]:
                 del self[t]
         self[token] = form(token)
@@ -77,9 +78,8 @@ def index_vectors(tokens: list[str]) -> np.ndarray:
 def pool(text: str | None, vocabulary: Vocabulary, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted mean of the words' vectors, and the logarithm of their number; zeros for a text without words. In pieces, so that memory stays bounded."""
     out, mass, n = np.zeros(DIM + 2), 1e-9, 0
-    tokens = TOKEN.findall(text) if text else []
-    for k in range(0, len(tokens), 50_000):
-        part = tokens[k : k + 50_000]
+    tokens = (m.group() for m in TOKEN.finditer(text)) if len(text or "") > 1 << 18 else iter(TOKEN.findall(text or ""))
+    while part := list(islice(tokens, 50_000)):
         ids = np.fromiter(map(vocabulary.__getitem__, part), dtype=np.int64, count=len(part))
         w = weight[ids]
         out[:DIM] += w @ vectors[ids]
@@ -179,16 +179,15 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     keep = ["doc_id"] if keep is None else keep
     text = free_name(docs, "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = model.vocabulary()
         for b in batches:
-            x = np.array([pool(t, vocabulary, model.vectors, model.weight) for t in b[text]]).reshape(len(b), DIM + 2)
-            out = b[keep].copy()
-            out[name] = forward(model, x)
-            yield out
+            # one text at a time becomes a string; what is kept stays as Arrow has it
+            x = np.array([pool(t.as_py(), vocabulary, model.vectors, model.weight) for t in b.column(len(keep))]).reshape(len(b), DIM + 2)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(forward(model, x))], [*keep, name])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))
-    return rows.mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())]))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
