@@ -20,6 +20,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ class Words(dict):
     """Word to 64-bit hash; forgets all when it grows too large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return h
@@ -82,20 +83,21 @@ def minhash(g: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     band = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
     for b in batches:
-        out = []
-        for text in b["text"]:
-            g = grams(text, words)
-            if not len(g):
-                out.append((None, 0, None, None))
-                continue
-            m = minhash(g)
-            buckets = mixed((m.reshape(BANDS, ROWS).astype(np.uint64) * FOLD).sum(axis=1) + band)
-            out.append((hashlib.blake2b(g.tobytes(), digest_size=16).digest(), len(g), (m & np.uint32(0xFFFF)).astype("<u2").tobytes(), buckets.view(np.int64)))
-        yield pd.concat([b[["doc_id", "text_key"]].reset_index(drop=True), pd.DataFrame(out, columns=["print", "n", "sig", "buckets"])], axis=1)
+        prints, sizes, sigs, buckets = [], [], [], []
+        for text in b.column(2):
+            g = grams(text.as_py(), words)
+            m = minhash(g) if len(g) else None
+            prints.append(None if m is None else hashlib.blake2b(g.tobytes(), digest_size=16).digest())
+            sizes.append(len(g))
+            sigs.append(None if m is None else (m & np.uint32(0xFFFF)).astype("<u2").tobytes())
+            buckets.append(None if m is None else mixed((m.reshape(BANDS, ROWS).astype(np.uint64) * FOLD).sum(axis=1) + band).view(np.int64))
+        # ids stay as Arrow has them: pandas would round large ones beside nulls
+        made = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_key", "print", "n", "sig", "buckets"])
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -198,7 +200,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     least = least_matches(threshold, tolerance)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sketches = stage(rows.mapInPandas(sketch, f"doc_id {kind}, text_key long, print binary, n int, sig binary, buckets array<long>"), "sketches")
+    sketches = stage(rows.mapInArrow(sketch, f"doc_id {kind}, text_key long, print binary, n int, sig binary, buckets array<long>"), "sketches")
     classes = sketches.filter("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
