@@ -24,6 +24,7 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -285,12 +286,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
             stats = replace(whole, df={r["word"]: r["df"] for r in df.join(own, "word").collect()})
         indexes = build_classes(part, stats)
 
-        def run(batches: Iterator[pd.DataFrame], indexes: list[Index] = indexes) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = indexes) -> Iterator[pa.RecordBatch]:
+            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b["doc_id"], b["text"], strict=True) for w in [normal(t)] for index in indexes for x in search(index, w, threshold, overlap, answer_overlap)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+                rows = [(k, x) for k, t in enumerate(b.column(1)) for w in [normal(t.as_py())] for index in indexes for x in search(index, w, threshold, overlap, answer_overlap)]
+                # ids stay as Arrow has them: pandas would round large ones beside nulls
+                ids = b.column(0).take(pa.array([k for k, _ in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for _, x in rows], kind) for i, kind in enumerate(kinds))], names)
 
-        out.append(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"))
+        out.append(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"))
     return reduce(DataFrame.unionAll, out)
 
 
