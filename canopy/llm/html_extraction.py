@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -318,14 +318,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text; empty if none), n_chars for each row of pages. A null html is an empty page; equal rows get equal results; other columns are not read."""
     weights, edges = fit()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.array(weights)
         for b in batches:
-            found = [main_text(h, w, edges) if h else "" for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": found, "n_chars": pd.Series([len(t) for t in found], dtype="int64")})
+            found = [main_text(h.as_py(), w, edges) if h.is_valid and h.as_py() else "" for h in b.column(2)]
+            # ids stay as Arrow has them: pandas would round large ones beside nulls
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
