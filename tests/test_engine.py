@@ -159,3 +159,12 @@ def test_chart_marks(spark):
     assert none.count() == 1 and tree.visible(none).count() == 0 and not tree.lazy_chart(none).first()["lazy"]
     some = tree.nodes(spark.createDataFrame([("a/b.rs", 10)], "path string, loc long"))
     assert {r["path"] for r in tree.visible(some).collect()} == {"", "a", "a/b.rs"}
+
+
+def test_candidates_of_imports_are_not_broadcast(spark):
+    """Their estimated size is that of the files that Python has read; a large table's candidates did not fit the driver."""
+    rows = spark.range(9).selectExpr("concat('src/p', id, '.ts') path", "0 ordinal", "concat('./p', id - 1) source").mapInPandas(lambda batches: batches, "path string, ordinal int, source string")
+    found = graph.resolve_imports(rows, rows.select("path"))
+    assert {(r["path"], r["resolved"]) for r in found.collect()} == {(f"src/p{i}.ts", f"src/p{i - 1}.ts" if i else None) for i in range(9)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [candidate" in plan and "BroadcastHashJoin [candidate" not in plan
