@@ -234,10 +234,10 @@ def test_components(spark):
 
 
 def test_components_meet_an_edge_once(spark):
-    """Groups whose members all know their least one settle in one round: their edges are not joined again and again."""
-    edges = [(0, i) for i in range(1, 50)] + [(100 + i, 100 + j) for i in range(12) for j in range(12)]
+    """Stars, cliques and chains settle in one round, however long: their edges are not joined again and again."""
+    edges = [(0, i) for i in range(1, 50)] + [(100 + i, 100 + j) for i in range(12) for j in range(12)] + [(200 + i, 201 + i) for i in range(40)]
     got = components(spark.createDataFrame(edges, "a long, b long"), rounds=1).collect()
-    assert {x["node"]: x["label"] for x in got} == {i: 0 for i in range(50)} | {100 + i: 100 for i in range(12)}
+    assert {x["node"]: x["label"] for x in got} == {i: 0 for i in range(50)} | {100 + i: 100 for i in range(12)} | {200 + i: 200 for i in range(41)}
     # the greatest node in the middle: its neighbours meet in the second round
     got = components(spark.createDataFrame([(i, 99) for i in range(50)], "a long, b long"), rounds=2).collect()
     assert len(got) == 51 and {x["label"] for x in got} == {0}
